@@ -199,9 +199,15 @@ def logistic(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
+def expert_logit(c=F.col, skip: set[str] = frozenset()) -> Column:
+    """Intercept plus the terms of the expert card, but for the skipped ones."""
+    z = F.lit(EXPERT_INTERCEPT)
+    for name, points in expert_points(c):
+        if name not in skip:
+            z = z + points
+    return z
+
+
 def expert_pd(c=F.col) -> Column:
     """Probability of default from the expert card, to six digits."""
-    z = F.lit(EXPERT_INTERCEPT)
-    for _, points in expert_points(c):
-        z = z + points
-    return round_to(logistic(z), 6)
+    return round_to(logistic(expert_logit(c)), 6)

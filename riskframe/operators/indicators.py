@@ -115,7 +115,11 @@ TOTALS = ["gross", "weighted", "variable", "counted", "existing", "refinanced",
           "liquid", "payment"]
 
 
-def from_documents(documents: DataFrame) -> DataFrame:
-    """Indicators of nested documents: no shuffle, everything happens in the row."""
-    totals = document_totals(documents)
-    return _finish(totals, *documents.columns, F.col("payment").alias("monthly_payment"))
+def from_documents(documents: DataFrame, keep_totals: bool = False) -> DataFrame:
+    """Indicators of nested documents: no shuffle, everything happens in the row.
+
+    ``keep_totals`` leaves the sums on the rows for later trial amounts.
+    """
+    carry = documents.columns + (TOTALS if keep_totals else [])
+    return _finish(document_totals(documents), *carry,
+                   F.col("payment").alias("monthly_payment"))

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.functions import credit
 from riskframe.functions.numeric import round_to
-from riskframe.operators import (bias, dataset, indicators, metrics, ordered, pivots, quality,
-                                 rules, sampling)
+from riskframe.operators import (bias, dataset, indicators, metrics, modelling, ordered,
+                                 pivots, quality, rules, sampling, scoring)
 from riskframe.plans import warehouse
 from riskframe.plans.warehouse import tables
 from riskframe.sources import adapter, documents, exports, refdata
+from riskframe.streaming import score_stream as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -466,3 +467,162 @@ def rationale_merge(spark, sf_dir):
     routed = quality.route_rationales(adapter.rationale_batches(spark, sf_dir), t)
     return quality.merge_rationales(t["decision"], routed).select(
         "application_id", "decided_by", "rationale")
+
+
+# ---- explanation and sizing on the expert card ----------------------------------------
+@query
+def contributions_expert(spark, sf_dir):
+    """Material factors per file, five in each direction, numbered by strength."""
+    factors = scoring.expert_factors()
+    rows = rows_of(spark, sf_dir).select("application_reference", factors.alias("f"))
+    sides = F.array(*[
+        F.struct(F.lit(name).alias("direction"),
+                 scoring.top_factors(F.col("f"), adverse).alias("factors"))
+        for name, adverse in (("adverse", True), ("favourable", False))])
+    long = rows.select("application_reference", F.explode(sides).alias("s"))
+    return long.select("application_reference", "s.direction",
+                       F.posexplode("s.factors").alias("place", "factor")).select(
+        "application_reference", "direction", (F.col("place") + 1).alias("place"),
+        F.col("factor.variable").alias("variable"),
+        F.col("factor.contribution").alias("contribution"))
+
+
+@query
+def max_amount(spark, sf_dir):
+    docs = documents.valid(documents.validate(parsed_documents(spark, sf_dir)))
+    inputs = scoring.sizing_frame(docs).withColumn("initial_pd", credit.expert_pd())
+    return scoring.max_amount(inputs, scoring.expert_pd_at)
+
+
+# ---- models -----------------------------------------------------------------------------
+_CARDS: dict[tuple[str, str], modelling.Card] = {}
+
+
+def default_card(spark: SparkSession, sf_dir: str) -> modelling.Card:
+    """The 35-variable logistic card of a folder, fitted once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CARDS:
+        columns = modelling.SCORECARD_VARIABLES
+        rows = rows_of(spark, sf_dir)
+        train = modelling.default_rows(rows, "train", columns)
+        card = modelling.logistic(train, columns, 0.1)
+        scores = card.transform(train).select("pd", F.col("label").alias("y"))
+        card.domain = metrics.domain_bounds(scores).first().asDict()
+        _CARDS[key] = card
+    return _CARDS[key]
+
+
+def test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modelling.default_rows(rows_of(spark, sf_dir), "test",
+                                  modelling.SCORECARD_VARIABLES)
+
+
+@query
+def logistic_fit(spark, sf_dir):
+    """Test predictions of the logistic card."""
+    return default_card(spark, sf_dir).transform(test_rows(spark, sf_dir)).select(
+        modelling.KEY, "pd", F.col("label").alias("observed_default"))
+
+
+@query
+def boosted_fit(spark, sf_dir):
+    """Test measures of a boosted card of depth 3."""
+    everything = refdata.columns_with_role("feature")
+    rows = rows_of(spark, sf_dir)
+    card = modelling.boosted(modelling.default_rows(rows, "train", everything), everything, 3,
+                             rounds=20)
+    scores = card.transform(modelling.default_rows(rows, "test", everything))
+    return metrics.metrics(scores.select("pd", F.col("label").alias("y")))
+
+
+@query
+def sign_audit(spark, sf_dir):
+    """Every audited coefficient with its expected side and whether it is an anomaly."""
+    card = default_card(spark, sf_dir)
+    coefficients = modelling.coefficient_table(spark, card)
+    odd = modelling.sign_audit(coefficients).select("variable", F.lit(1).alias("_odd"))
+    expected = F.broadcast(modelling.expectations(spark))
+    return (coefficients.join(expected, "variable").join(odd, "variable", "left")
+            .select("variable", round_to(F.col("coefficient"), 4).alias("coefficient"),
+                    "expected", F.coalesce("_odd", F.lit(0)).alias("anomaly")))
+
+
+@query
+def model_selection(spark, sf_dir):
+    """Validation AUC and sign anomalies of the linear candidates, with the choice made."""
+    chosen = modelling.select_card(rows_of(spark, sf_dir), with_boosting=False)
+    return spark.createDataFrame(
+        [(n, chosen.auc[n], chosen.anomalies[n], int(n == chosen.production))
+         for n in chosen.cards], "candidate STRING, validation_auc DOUBLE, "
+        "sign_anomalies INT, production INT")
+
+
+@query
+def oof_calibration(spark, sf_dir):
+    """Out-of-fold scores of the training files and the calibrated value of each."""
+    columns = modelling.SCORECARD_VARIABLES
+    rows = rows_of(spark, sf_dir)
+    train = modelling.default_rows(rows, "train", columns)
+    oof = modelling.out_of_fold(train, columns, 0.1).persist()
+    card, _ = modelling.calibrate(default_card(spark, sf_dir), oof,
+                                  modelling.default_rows(rows, "val", columns))
+    return modelling.apply_calibration(oof, card.calibration, card.calibrator).select(
+        "application_id", "raw_pd", "pd", F.lit(card.calibration).alias("calibration"))
+
+
+@query
+def permutation_importance(spark, sf_dir):
+    return modelling.permutation_importance(default_card(spark, sf_dir),
+                                            test_rows(spark, sf_dir))
+
+
+@query
+def decision_model(spark, sf_dir):
+    """Per-class report of the decision model on test."""
+    rows = rows_of(spark, sf_dir)
+    model, _ = modelling.train_decision(rows, modelling.SCORECARD_VARIABLES, trees=20,
+                                        with_boosting=False)
+    test = modelling.decision_rows(rows, "test", modelling.SCORECARD_VARIABLES)
+    return metrics.class_report(model.predict(test).select("actual", "predicted"))
+
+
+@query
+def selection_bias(spark, sf_dir):
+    return modelling.selection_bias(rows_of(spark, sf_dir))[0]
+
+
+@query
+def batch_score(spark, sf_dir):
+    """Every document scored with the logistic card."""
+    texts = documents.to_text(documents.assemble(tables(spark, sf_dir)))
+    scored = scoring.score_documents(documents.parse(texts), default_card(spark, sf_dir))
+    return flat_scores(scored)
+
+
+def flat_scores(scored: DataFrame) -> DataFrame:
+    return scored.select(
+        "evaluation_id", "reference", "probability_of_default", "risk_grade", "out_of_domain",
+        F.col("indicators.dti_after_pct").alias("dti_after_pct"),
+        F.array_join("adverse_factors.variable", "|").alias("adverse_factors"),
+        F.array_join("favourable_factors.variable", "|").alias("favourable_factors"),
+        F.col("model.fingerprint").alias("fingerprint"),
+        F.array_join("warnings", " / ").alias("warnings"))
+
+
+@query
+def max_amount_fitted(spark, sf_dir):
+    """Sizing with the fitted logistic card."""
+    docs = documents.valid(documents.validate(parsed_documents(spark, sf_dir)))
+    card = default_card(spark, sf_dir)
+    inputs, pd_at = scoring.with_linear_sizing(scoring.sizing_frame(docs), card)
+    return scoring.max_amount(inputs, pd_at, card=card)
+
+
+@query
+def stream_score(spark, sf_dir):
+    """Documents written as files, scored by the stream, read back."""
+    folder = warehouse.scratch(spark, "stream")
+    documents.assemble(tables(spark, sf_dir)).write.json(f"{folder}/in")
+    streams.score_stream(spark, f"{folder}/in", default_card(spark, sf_dir),
+                         f"{folder}/out", f"{folder}/state").awaitTermination()
+    return flat_scores(spark.read.parquet(f"{folder}/out"))

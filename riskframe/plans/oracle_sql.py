@@ -420,3 +420,88 @@ _add("rationale_routes", "SELECT reference, file_number, position, route, "
      "length(rationale) AS characters FROM routes", "ord", "app", "dec", extra=_ROUTES)
 _add("rationale_merge", "SELECT application_id, decided_by, rationale FROM merged",
      "ord", "app", "dec", extra=_MERGED)
+
+# ---- explanation and sizing on the expert card ----------------------------------------
+_add("contributions_expert", f"""
+SELECT application_reference, direction, CAST(place AS INTEGER) AS place, variable,
+  {rnd('contribution', 4)} AS contribution
+FROM (SELECT *, row_number() OVER (PARTITION BY application_reference, direction
+        ORDER BY abs(contribution) DESC, variable) AS place
+      FROM (SELECT *, CASE WHEN contribution > 0.01 THEN 'adverse'
+                           WHEN contribution < -0.01 THEN 'favourable' END AS direction FROM f)
+      WHERE direction IS NOT NULL) WHERE place <= 5""", "situation", extra={
+    "f": " UNION ALL ".join(f"SELECT application_reference, '{n}' AS variable, "
+                            f"CAST({t} AS DOUBLE) AS contribution FROM situation"
+                            for n, t in o.expert_terms())})
+
+# Documents merge lines of one kind and flag, so counted loans and undocumented lines
+# are counts of those groups.
+_DOC_ROWS = """
+SELECT a.id AS application_id, a.reference, a.requested_amount, a.term_months, a.nominal_rate,
+  a.insurance_taken, s.payment, s.liquid, s.cu, s.gross, s.weighted, s.variable, s.counted,
+  s.existing, s.refinanced, i.dti_after_pct, i.residual_income_per_cu,
+  i.savings_months_of_expenses, b.ficp_flagged, b.rejected_debits_12m, b.days_overdrawn_12m,
+  b.loans_repaid_clean, e.months_in_job,
+  CASE WHEN a.co_borrower_id IS NOT NULL THEN 1 ELSE 0 END AS has_co_borrower,
+  """ + o.choose(o._TIERS, "e.contract_code") + """ AS contract_stability,
+  (SELECT count(DISTINCT repaid_by_this_loan) FROM loan x
+   WHERE x.application_id = a.id AND loan_kind = 'revolving') AS revolving_loans
+FROM app a JOIN ind_sum s ON s.application_id = a.id JOIN ind_all i ON i.application_id = a.id
+JOIN beh b ON b.application_id = a.id
+JOIN emp e ON e.application_id = a.id AND e.role = 'primary'
+JOIN cr_customer c ON c.id = a.customer_id
+WHERE i.indicator_error IS NULL AND a.apr <= a.usury_rate_cap
+  AND EXISTS (SELECT 1 FROM inc_line x WHERE x.application_id = a.id)"""
+
+
+def _trial(amount: str, source: str, carry: str) -> str:
+    """Rows of ``source`` with ``trial_pd`` for an amount expression."""
+    cover = f"CASE WHEN insurance_taken = 1 THEN {rnd(amount + ' * 0.00035::DOUBLE', 2)} ELSE 0.0::DOUBLE END"
+    paid = f"SELECT *, {amount} AS amount FROM {source}"
+    excl = (f"SELECT *, {o.instalment('amount', 'nominal_rate', 'term_months')} AS excl, "
+            f"{cover.replace(amount, 'amount')} AS cover FROM ({paid})")
+    pay = f"SELECT *, {rnd('excl + cover', 2)} AS pay FROM ({excl})"
+    after = "(counted + (existing - refinanced) + pay)"
+    ind = f"""SELECT * EXCLUDE (dti_after_pct, residual_income_per_cu, savings_months_of_expenses),
+  {rnd('((existing - refinanced) + pay + counted) / weighted * 100.0::DOUBLE', 2)} AS dti_after_pct,
+  {rnd('(weighted - counted - (existing - refinanced) - pay) / cu', 2)} AS residual_income_per_cu,
+  CASE WHEN {after} > 0 THEN {rnd('liquid / ' + after, 2)} ELSE 0.0::DOUBLE END
+    AS savings_months_of_expenses FROM ({pay})"""
+    return f"SELECT {carry}, {o.expert_pd()} AS trial_pd FROM ({ind})"
+
+
+_add("max_amount", f"""
+SELECT d.reference, {rnd('initial_pd', 4)} AS initial_pd, 0.05::DOUBLE AS target_pd,
+  d.requested_amount,
+  CASE WHEN initial_pd <= 0.05 THEN d.requested_amount ELSE {rnd('low', 2)} END
+    AS maximum_amount,
+  {rnd('trial_pd', 4)} AS pd_at_maximum, {rnd('(d.requested_amount - low)', 2)}
+    AS reduction_required,
+  CASE WHEN initial_pd <= 0.05 THEN 'the target is already met at the requested amount'
+    WHEN low IS NULL THEN 'no amount brings the PD under target: the risk lies in the profile, not in the sizing of the operation'
+    ELSE 'cutting the amount to '
+      || replace(format('{{:,}}', CAST({o.rint('low')} AS BIGINT)), ',', ' ')
+      || ' EUR keeps the PD under 5%' END AS comment
+FROM initial d LEFT JOIN final USING (application_id)""",
+     "app", "ind_sum", "ind_all", "beh", "emp", "cr_customer", "inc_line", "loan", extra={
+         "doc": _DOC_ROWS,
+         "initial": f"SELECT *, {o.expert_pd()} AS initial_pd FROM doc",
+         "floor_pd": _trial("500.0::DOUBLE", "(SELECT * FROM initial WHERE initial_pd > 0.05 "
+                            "AND requested_amount > 500)", "*"),
+         "start": "SELECT * EXCLUDE (amount, excl, cover, pay, trial_pd, dti_after_pct, "
+                  "residual_income_per_cu, savings_months_of_expenses), "
+                  "0.0::DOUBLE AS dti_after_pct, 0.0::DOUBLE AS residual_income_per_cu, "
+                  "0.0::DOUBLE AS savings_months_of_expenses FROM floor_pd "
+                  "WHERE trial_pd <= 0.05",
+         "steps(step, application_id, low, high)": f"""
+SELECT 0, application_id, 500.0::DOUBLE, requested_amount FROM start
+UNION ALL
+SELECT step + 1, application_id,
+  CASE WHEN trial_pd <= 0.05 THEN amount ELSE low END,
+  CASE WHEN trial_pd <= 0.05 THEN high ELSE amount END
+FROM ({_trial('((low + high) / 2.0::DOUBLE)',
+              '(SELECT * FROM steps JOIN start USING (application_id) WHERE step < 40)',
+              'step, application_id, low, high, amount')})""",
+         "final": _trial("low", "(SELECT * FROM (SELECT * FROM steps WHERE step = 40) "
+                         "JOIN start USING (application_id))", "application_id, low")})
+ORACLES["max_amount"] = ORACLES["max_amount"].replace("WITH ", "WITH RECURSIVE ", 1)
