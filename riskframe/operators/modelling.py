@@ -48,6 +48,7 @@ RARE_BELOW = 20
 AUC_GAIN_FOR_BOOSTING = 0.02
 BRIER_GAIN_FOR_CALIBRATION = 0.01
 FOLDS = 5
+ROWS_PER_TASK = 20_000
 BOOSTING_ROUNDS, BOOSTING_STEP = 400, 0.06
 IMPORTANCE_REPEATS, IMPORTANCE_FLOOR, IMPORTANCE_TOP = 5, 0.0002, 15
 # -------------------------------------------------------------------------------------
@@ -197,18 +198,28 @@ def _fit(name: str, train: DataFrame, columns: list[str], classifier) -> Card:
     return Card(name, columns, Pipeline(stages=stages).fit(train))
 
 
+def sized(train: DataFrame, rows: int) -> DataFrame:
+    """Fewer partitions for small training sets; large ones keep all of theirs.
+
+    An iterative fit runs one short job per step, so partitions of a few hundred
+    rows cost more to schedule than to sum.
+    """
+    return train.coalesce(rows // ROWS_PER_TASK + 1)
+
+
 def logistic(train: DataFrame, columns: list[str], c: float, name: str | None = None,
              weight: str | None = None, label: str = "label") -> Card:
     """Ridge logistic regression; ``c`` scales the data term as a sum over rows."""
     train = train.persist()
     try:
-        n = train.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
+        rows, total = train.agg(F.count(F.lit(1)),
+                                F.sum(weight) if weight else F.count(F.lit(1))).first()
         estimator = LogisticRegression(
-            featuresCol="features", labelCol=label, maxIter=300, regParam=1.0 / (c * float(n)),
+            featuresCol="features", labelCol=label, maxIter=300, regParam=1.0 / (c * float(total)),
             elasticNetParam=0.0, standardization=False)
         if weight:
             estimator.setWeightCol(weight)
-        return _fit(name or f"logistic_C{c}", train, columns, estimator)
+        return _fit(name or f"logistic_C{c}", sized(train, rows), columns, estimator)
     finally:
         train.unpersist()
 
@@ -217,7 +228,8 @@ def boosted(train: DataFrame, columns: list[str], depth: int, rounds: int = BOOS
             name: str | None = None, label: str = "label") -> Card:
     train = train.persist()
     try:
-        return _fit(name or f"gb_depth{depth}", train, columns, GBTClassifier(
+        small = sized(train, train.count())
+        return _fit(name or f"gb_depth{depth}", small, columns, GBTClassifier(
             featuresCol="features", labelCol=label, maxDepth=depth, maxIter=rounds,
             stepSize=BOOSTING_STEP, seed=0))
     finally:
@@ -261,19 +273,21 @@ class Selection:
     cards: dict[str, Card]
     auc: dict[str, float]
     anomalies: dict[str, int]
-    production: str
+    production: str | None
     challenger: str | None
 
 
-def choose(auc: dict[str, float], anomalies: dict[str, int]) -> tuple[str, str | None]:
-    """(production, challenger): a boosted card must gain clearly over a clean linear one."""
+def choose(auc: dict[str, float], anomalies: dict[str, int]
+           ) -> tuple[str | None, str | None]:
+    """(production, challenger): a boosted card must gain clearly over a clean linear one.
+
+    With neither a clean linear nor a boosted candidate there is nothing to retain.
+    """
     clean = [k for k in auc if k.startswith("logistic") and not anomalies[k]]
     trees = [k for k in auc if k.startswith("gb")]
     best_tree = max(trees, key=auc.get) if trees else None
     best_linear = max(clean, key=auc.get) if clean else None
     if best_linear is None:
-        if best_tree is None:
-            raise ValueError("no candidate with coherent signs and no boosted fallback")
         return best_tree, None
     if best_tree and auc[best_tree] - auc[best_linear] > AUC_GAIN_FOR_BOOSTING:
         return best_tree, best_linear
@@ -516,8 +530,9 @@ def train_decision(rows: DataFrame, columns: list[str] | None = None, *, trees:
         candidates["gb_one_vs_rest"] = OneVsRest(classifier=GBTClassifier(
             maxDepth=6, maxIter=rounds, stepSize=BOOSTING_STEP, seed=0))
     # The inputs are prepared once; every candidate learns from the same vectors.
-    prepared = preprocessor(train_i, columns).fit(train_i)
-    vectors = prepared.transform(train_i).select("features", "label").persist()
+    small = sized(train_i, n)
+    prepared = preprocessor(small, columns).fit(small)
+    vectors = prepared.transform(small).select("features", "label").persist()
     fitted, scores = {}, {}
     for name, estimator in candidates.items():
         model = PipelineModel(stages=prepared.stages + [estimator.fit(vectors)])
