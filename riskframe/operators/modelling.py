@@ -322,10 +322,11 @@ def with_folds(rows: DataFrame, folds: int = FOLDS, key: str = "application_id",
                label: str = "label") -> DataFrame:
     """Balanced folds per class.
 
-    Rows are dealt out inside 1,024 random slices of each class, so no class has
-    to be numbered in one task; fold sizes differ by at most one row per slice.
+    Rows are dealt out inside random slices of each class, as many as keep a slice
+    near ``ROWS_PER_TASK`` rows, so no class has to be numbered in one task. A small
+    table is one slice and its folds differ by at most one row per class.
     """
-    slices = F.pmod(F.xxhash64(F.col(key)), F.lit(1024))
+    slices = F.pmod(F.xxhash64(F.col(key)), F.lit(rows.count() // ROWS_PER_TASK + 1))
     rows = rows.withColumn("_slice", slices)
     dealt = F.row_number().over(W.partitionBy(label, "_slice").orderBy(key))
     return rows.withColumn("fold", F.pmod(dealt + F.col("_slice"), F.lit(folds))
