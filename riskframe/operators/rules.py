@@ -17,6 +17,17 @@ from riskframe.sources import refdata
 
 Chance = Callable[[int], Column]
 
+# Situation columns the rules read.
+INPUTS = [
+    "application_id", "application_date", "loan_type", "requested_amount", "term_months",
+    "insurance_taken", "down_payment", "has_co_borrower", "months_at_address", "contract_type",
+    "contract_stability", "months_in_job", "in_probation_period", "rule_relationship_months",
+    "undocumented_income_lines", "weighted_income", "variable_income_share", "revolving_loans",
+    "loan_incidents_12m", "days_overdrawn_12m", "rejected_debits_12m", "salary_domiciled",
+    "ficp_flagged", "fcc_flagged", "loans_repaid_clean", "dti_after_pct",
+    "residual_income_per_cu", "payment_shock", "savings_months_of_expenses",
+]
+
 # ---- fixed values: salts of the keyed draws -----------------------------------
 OVERRIDE, LOW_SCORE, GREY_ZONE, REMAINDER, DEFERRAL = 31, 37, 41, 43, 47
 OUTCOME, COUNTERFACTUAL = 53, 59

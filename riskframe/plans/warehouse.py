@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.functions.numeric import draw
 from riskframe.operators import dataset, indicators, pivots, rules
-from riskframe.session import shared_folder
+from riskframe.session import shared_folder, tune
 from riskframe.sources import adapter
 from riskframe.sources.tables import Tables, write_many
 
@@ -25,8 +26,8 @@ def bucket_count(spark: SparkSession) -> int:
 
 
 def decided_rows(t: Tables) -> DataFrame:
-    return rules.decide(dataset.situation(t),
-                        lambda salt: draw(F.col("application_id"), salt))
+    situation = dataset.situation(t).select(*rules.INPUTS)
+    return rules.decide(situation, lambda salt: draw(F.col("application_id"), salt))
 
 
 def _decision(rows: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def load(spark: SparkSession, sf_dir: str, folder: str | None = None) -> Tables:
     folder = folder or f"{shared_folder(spark)}/riskframe-tables-{tag}"
     options = {"buckets": bucket_count(spark), "catalog_prefix": f"rf_{tag}_"}
 
-    captured = {name: build(spark, sf_dir) for name, build in adapter.CAPTURED.items()}
+    captured = {name: partial(build, spark, sf_dir) for name, build in adapter.CAPTURED.items()}
     t = Tables(spark, write_many(spark, captured, folder, **options))
     t = t.replace(**write_many(
         spark, {"indicators": indicators.assessable(indicators.from_lines(t))},
@@ -78,7 +79,7 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The loaded tables of a source folder, loading them on first use."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _LOADED:
-        _LOADED[key] = load(spark, sf_dir)
+        _LOADED[key] = load(tune(spark), sf_dir)
     return _LOADED[key]
 
 

@@ -7,6 +7,19 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# A generated method above 8,000 bytes of code is never compiled by the JVM and runs
+# interpreted; with this limit Spark falls back to smaller methods instead. The rule
+# and text projections are wide enough for that to matter several-fold.
+CODEGEN = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings to a session built elsewhere."""
+    for key, value in CODEGEN.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app: str = "riskframe", cores: str = "*", **conf: str) -> SparkSession:
     """A local session for tests and benches; clusters bring their own."""
     builder = (
@@ -19,7 +32,7 @@ def build_session(app: str = "riskframe", cores: str = "*", **conf: str) -> Spar
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )
-    for key, value in conf.items():
+    for key, value in {**CODEGEN, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -68,11 +68,13 @@ def write_table(df: DataFrame, folder: str, table: str, *, mode: str = "overwrit
     return spark.table(name)
 
 
-def write_many(spark: SparkSession, frames: Mapping[str, DataFrame], folder: str,
-               **options) -> dict[str, DataFrame]:
-    """Write independent tables side by side; each is its own Spark job."""
-    def one(item: tuple[str, DataFrame]) -> tuple[str, DataFrame]:
-        return item[0], write_table(item[1], folder, item[0], **options)
+def write_many(spark: SparkSession, frames: Mapping[str, DataFrame | Callable[[], DataFrame]],
+               folder: str, **options) -> dict[str, DataFrame]:
+    """Build and write independent tables side by side; each is its own Spark job."""
+    def one(item: tuple[str, DataFrame | Callable[[], DataFrame]]) -> tuple[str, DataFrame]:
+        name, frame = item
+        built = frame if isinstance(frame, DataFrame) else frame()
+        return name, write_table(built, folder, name, **options)
 
     with ThreadPoolExecutor(max_workers=max(1, len(frames))) as pool:
         return dict(pool.map(one, frames.items()))
