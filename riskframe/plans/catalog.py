@@ -156,7 +156,7 @@ def lookup(spark, sf_dir):
 
 
 @query
-def ordered_export(spark, sf_dir):
+def ordered_limit(spark, sf_dir):
     """The first thousand files in application order."""
     rows = rows_of(spark, sf_dir).select("application_id", "split", "decision_result")
     return sampling.first_rows(rows, 1000)
