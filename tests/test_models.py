@@ -177,3 +177,18 @@ def test_selection_bias_report(rows):
     assert set(got) == {modelling.REAL, modelling.INFERRED, modelling.ORACLE}
     assert math.isclose(got[modelling.REAL].actual_rate, got[modelling.ORACLE].actual_rate)
     assert got[modelling.ORACLE].auc >= got[modelling.REAL].auc - 0.02
+
+
+def test_sizing_ways_agree(spark, rows, tiny):
+    """Scoring every halving gives what the in-row search gives."""
+    columns = ["dti_after_pct", "residual_income_per_cu", "requested_amount", "ficp_flagged"]
+    small = modelling.logistic(modelling.default_rows(rows, "train", columns), columns, 0.1)
+    docs = documents.valid(documents.validate(documents.with_defaults(
+        documents.assemble(tiny)))).limit(25).persist()
+    frame = scoring.sizing_frame(docs).persist()
+    inputs, pd_at = scoring.with_linear_sizing(frame, small)
+    names = ["reference", "initial_pd", "maximum_amount", "comment"]
+    fast = scoring.max_amount(inputs, pd_at, 0.08, small).select(*names).collect()
+    slow = scoring.max_amount_any(frame, small, 0.08).select(*names).collect()
+    assert sorted(map(str, fast)) == sorted(map(str, slow))
+    assert any(r.maximum_amount is not None and r.comment.startswith("cutting") for r in fast)
