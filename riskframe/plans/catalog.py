@@ -284,7 +284,7 @@ def check_co_borrower(spark, sf_dir):
 
 @query
 def check_decline_reason(spark, sf_dir):
-    """Declines whose coded reasons hold no adverse code before the fallback."""
+    """The check applied to favourable reasons alone: declines that have none of them."""
     t = tables(spark, sf_dir)
     adverse = F.broadcast(t["reason"].where("polarity = 'adverse'")
                           .select(F.col("code").alias("reason_code")))
