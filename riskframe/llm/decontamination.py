@@ -218,33 +218,49 @@ def digest(spans: DataFrame) -> DataFrame:
         (hit > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, cut: bool = False) -> DataFrame:
-    """Documents without benchmark passages.
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Documents that hold no benchmark window, with the input's columns; no shuffle.
 
-    A document with any window is dropped, or with ``cut`` stays and loses the words of
-    its merged spans with what stands between them. Columns of the input are kept.
+    A benchmark beyond one block takes one more pass over the kept rows for each block.
     """
+    spark = docs.sparkSession
+    for rows in blocks(benchmark, block_bytes):
+        docs = arrow(docs, _cleaner(spark.sparkContext.broadcast(phrases(rows, width))), docs.schema)
+    return docs
+
+
+def _cleaner(block):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = block.value
+        for batch in batches:
+            hit = np.zeros(batch.num_rows, dtype=bool)
+            for row, _, data, offsets in T.chunks(batch.column("text"), SHARD_BYTES):
+                hit[row + np.unique(shard_hits(data, offsets, known)[1])] = True
+            yield batch.filter(pa.array(~hit))
+    return keep
+
+
+def cut(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """All documents without the words of their merged spans and what stands between those."""
     spans = contaminated_spans(docs, benchmark)
-    uid = "_text_uid"
-    marked = docs.withColumn(uid, F.xxhash64("doc_id", "text"))
-    hits = (spans.where(F.size("starts") > 0).select(F.col("doc_id").alias("hit_doc"),
-            F.col("uid").alias("hit_uid"), "starts", "ends").dropDuplicates(["hit_doc", "hit_uid"]))
-    same = F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col(uid) == F.col("hit_uid"))
-    if not cut:
-        return marked.join(hits, same, "left_anti").select(*docs.columns)
-    joined = marked.join(hits, same, "left")
-    schema = joined.select(*docs.columns).schema
+    hits = (spans.where(F.size("starts") > 0).select(
+        F.col("doc_id").alias("_hit_doc"), F.col("uid").alias("_hit_uid"), F.col("starts").alias("_starts"),
+        F.col("ends").alias("_ends")).dropDuplicates(["_hit_doc", "_hit_uid"]))
+    marked = docs.withColumn("_text_uid", F.xxhash64("doc_id", "text"))
+    joined = marked.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit_doc"))
+                         & (F.col("_text_uid") == F.col("_hit_uid")), "left")
+    names = docs.columns
 
     def trim(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for i, (s, e) in enumerate(zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist())):
+            for i, (s, e) in enumerate(zip(batch.column("_starts").to_pylist(), batch.column("_ends").to_pylist())):
                 if s:
                     texts[i] = cut_words(texts[i], s, e)
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return arrow(joined.select(*docs.columns, "starts", "ends"), trim, schema)
+    return arrow(joined.select(*names, "_starts", "_ends"), trim, docs.schema)
 
 
 def cut_words(body: str, starts: list[int], ends: list[int]) -> str:

@@ -1,3 +1,13 @@
-"""DuckDB SQL for the queries of this folder that SQL can express."""
+"""DuckDB SQL for the queries of this folder that SQL can express on whole tables.
 
-ORACLES: dict[str, str] = {}
+The others (windows found by indexes, learned models, alignments, tokenizers) are held
+against brute-force versions, held-out accuracy or exact round trips in the tests.
+"""
+
+from riskframe.llm import license_scan, mixing, url_templates
+
+ORACLES: dict[str, str] = {
+    "op3_license_scan": license_scan.SQL,
+    "op6_mixing": mixing.SQL,
+    "op8_url_templates": url_templates.SQL,
+}
