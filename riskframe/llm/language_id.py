@@ -27,7 +27,7 @@ from riskframe.llm.features import grams
 from riskframe.llm.stage import arrow
 
 FOLDS = 5
-PER_LANGUAGE = 400
+PER_LANGUAGE = 250
 BUCKETS, WIDTH = 1 << 15, 16
 GRAMS = (2, 4)
 EPOCHS, RATE = 6, 0.5
@@ -68,10 +68,10 @@ def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(n):
                 own = np.concatenate([b[(e := int(c[:i + 1].sum())) - c[i]:e] for b, c in found])
                 key, times = np.unique(own, return_counts=True)
-                keys.append(key)
+                keys.append(key.astype(np.int32))
                 shares.append((times / max(1, len(own))).astype(np.float32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang").slice(row, n), pa.array(keys, pa.list_(pa.int64())),
+                [batch.column("lang").slice(row, n), pa.array(keys, pa.list_(pa.int32())),
                  pa.array(shares, pa.list_(pa.float32())), batch.column("h").slice(row, n)],
                 ["lang", "keys", "shares", "h"])
 
@@ -88,10 +88,11 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, per_language / n)])
     h = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30))
     sample = usable.where(h / float(1 << 30) < share[F.col("lang")]).select("text", "lang", h.alias("h"))
-    got = arrow(sample, vectors, "lang string, keys array<bigint>, shares array<float>, h bigint").toArrow()
+    got = arrow(sample, vectors, "lang string, keys array<int>, shares array<float>, h bigint").toArrow()
     got = got.sort_by("h")      # the order of descent is the same in every run
-    return fit(got["lang"].to_pylist(), [np.asarray(x) for x in got["keys"].to_pylist()],
-               [np.asarray(x) for x in got["shares"].to_pylist()])
+    keys, shares = got["keys"].combine_chunks(), got["shares"].combine_chunks()
+    cut = np.cumsum(keys.value_lengths().to_numpy())[:-1]
+    return fit(got["lang"].to_pylist(), np.split(keys.flatten().to_numpy(), cut), np.split(shares.flatten().to_numpy(), cut))
 
 
 def fit(langs: list[str], keys: list[np.ndarray], shares: list[np.ndarray]) -> Model | None:
