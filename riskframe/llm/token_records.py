@@ -6,8 +6,9 @@ the body is the document's id, whether it is null, and its token ids, little-end
 each file stands an index of (offset, tokens) per record, so that a reader can seek any record.
 Documents are range-partitioned and sorted by doc_id; files of a partition follow one another.
 
-Texts are split before single spaces between words, where the tokenizer splits as well, and
-each distinct piece is encoded once by the tokenizers library and kept for later texts.
+Texts are split where the tokenizer splits as well (before a single space between words, around a
+line break, before a mark after a letter), and each distinct piece is encoded once by the
+tokenizers library and kept for later texts.
 
 Defined results: a null or empty text has the end id alone; a null doc_id comes first; rows of
 one doc_id follow each other by text; columns of other names are ignored.
@@ -32,7 +33,9 @@ END = 2
 #: A partition starts a new file beyond this size.
 FILE_BYTES = 32 << 20
 #: Distinct pieces a worker remembers before it starts afresh; a bound of memory only.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
+#: Bytes of text encoded at a time, and pieces given to the library at a time.
+PART, SENT = 2 << 20, 20_000
 
 _U = np.uint64
 
@@ -48,49 +51,63 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.forget()
 
     def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.edges = np.zeros((0, 3), np.uint64)
-        self.begin = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        self.known = np.zeros(0, np.uint64)      # piece hashes, sorted
+        self.proof = np.zeros(0, np.uint64)      # a second look at each piece
+        self.begin = np.zeros(0, np.int32)
+        self.count = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
+    def fresh(self, text: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of pieces; one call of the library for many, as its results are large."""
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]
+        for i in range(0, len(text), SENT):
+            part = text[i:i + SENT]
+            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(got.ids, dtype=np.uint32))
+            counts.append(np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(part)).astype(np.int32))
+        return np.concatenate(ids), np.concatenate(counts)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
         rows = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
+        body = data.tobytes()
+        if any(x in body for x in self.special):           # they may hold marks that pieces cut at
+            return self.plain(data, offsets)
         starts, ends = pieces(data, offsets)
         code = T.Rolling(T.BYTE_CODE[data]).of(starts, ends)
         values, one, inverse = np.unique(code, return_index=True, return_inverse=True)
-        edge = edges_of(data, starts, ends)
-        if not (edge == edge[one][inverse]).all():       # two pieces of one hash: the plain way
+        proof = edges_of(data, starts, ends)
+        if not (proof == proof[one][inverse]).all():       # two pieces of one hash: the plain way
             return self.plain(data, offsets)
+        proof = proof[one]
         if len(self.known) > REMEMBERED:
             self.forget()
         at = np.minimum(np.searchsorted(self.known, values), max(0, len(self.known) - 1))
         there = self.known[at] == values if len(self.known) else np.zeros(len(values), bool)
-        if there.any() and not (self.edges[at[there]] == edge[one][there]).all():
+        if there.any() and not (self.proof[at[there]] == proof[there]).all():
             return self.plain(data, offsets)
         fresh = np.flatnonzero(~there)
         if len(fresh):
-            text = [data[starts[i]:ends[i]].tobytes().decode() for i in one[fresh].tolist()]
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast(text, add_special_tokens=False)]
-            count = np.array([len(x) for x in lists], dtype=np.int64)
-            begin = len(self.ids) + np.cumsum(count) - count
-            self.ids = np.concatenate([self.ids, np.array([i for x in lists for i in x], dtype=np.uint32)])
+            text = [body[s:e].decode() for s, e in zip(starts[one[fresh]].tolist(), ends[one[fresh]].tolist())]
+            ids, count = self.fresh(text)
+            begin = (len(self.ids) + np.cumsum(count) - count).astype(np.int32)
+            self.ids = np.concatenate([self.ids, ids])
             where = np.searchsorted(self.known, values[fresh])
             self.known = np.insert(self.known, where, values[fresh])
-            self.edges = np.insert(self.edges, where, edge[one[fresh]], axis=0)
+            self.proof = np.insert(self.proof, where, proof[fresh])
             self.begin = np.insert(self.begin, where, begin)
             self.count = np.insert(self.count, where, count)
             at = np.searchsorted(self.known, values)
         slot = at[inverse]
-        count = self.count[slot]
-        ids = self.ids[T.ranges(self.begin[slot], count)]
+        count = self.count[slot].astype(np.int64)
+        ids = self.ids[T.ranges(self.begin[slot].astype(np.int64), count)]
         total = np.append(0, np.cumsum(count))
         return ids, np.diff(total[np.searchsorted(starts, offsets)])
 
@@ -104,33 +121,41 @@ class Encoder:
 _WIDE_SPACE_LEAD = (0xC2, 0xE1, 0xE2, 0xE3)  # first bytes of white space beyond ASCII
 _OPENS = T.SOLID.copy()
 _OPENS[list(_WIDE_SPACE_LEAD)] = False
+_NAMED = np.zeros(256, dtype=bool)               # ASCII letters and digits
+_NAMED[0x30:0x3A] = _NAMED[0x41:0x5B] = _NAMED[0x61:0x7B] = True
+_MARK = np.zeros(256, dtype=bool)                # other visible ASCII
+_MARK[0x21:0x7F] = ~_NAMED[0x21:0x7F]
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cut every text before each single space that stands between two words."""
-    cut = np.zeros(len(data), dtype=bool)
+    """Cut every text where the tokenizer's own pattern cuts, whatever else the text holds."""
+    cut = np.zeros(len(data) + 1, dtype=bool)
     if len(data) > 2:
-        cut[1:-1] = (data[1:-1] == 0x20) & T.SOLID[data[:-2]] & _OPENS[data[2:]]
-    first = offsets[:-1][np.diff(offsets) > 0]
-    cut[first] = True                       # a text's first byte, whatever stands before it
-    last = offsets[1:][np.diff(offsets) > 0] - 1
-    lone = last[~np.isin(last, first)]
-    cut[lone] = False                       # a space at the very end stays with its word
-    starts = np.flatnonzero(cut)
+        here, before, after = data[1:-1], data[:-2], data[2:]
+        cut[1:-2] = (here == 0x20) & T.SOLID[before] & _OPENS[after]
+        # the last character before is a letter or digit: ASCII, or one of two bytes from C3 on
+        named = _NAMED[before]
+        named[1:] |= (data[:-3] == 0xC3) & (before[1:] >= 0x80) & (before[1:] != 0x97) & (before[1:] != 0xB7)
+        cut[1:-2] |= _MARK[here] & named
+        line = (here == 0x0A) & (named | _MARK[before]) & _OPENS[after]
+        cut[1:-2] |= line
+        cut[2:-1] |= line
+    filled = np.diff(offsets) > 0
+    first, last = offsets[:-1][filled], offsets[1:][filled] - 1
+    cut[last] &= _MARK[data[last]]              # a space or break at the very end stays with its word
+    cut[first] = True                           # a text's first byte, whatever stands before it
+    starts = np.flatnonzero(cut[:-1])
     return starts, np.append(starts[1:], len(data))
 
 
 def edges_of(data, starts, ends) -> np.ndarray:
-    """First and last eight bytes and length: with the hash, exact for pieces up to 16 bytes."""
+    """First and last eight bytes and length, mixed: a check beside the hash of a piece."""
     padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
-    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    eight = np.ndarray((len(data) + 9,), dtype="<u8", buffer=padded, strides=(1,))
     size = ends - starts
-    keep = np.minimum(size, 8)
-    mask = np.where(keep == 8, ~_U(0), (_U(1) << (8 * keep % 64).astype(np.uint64)) - _U(1))
-    head = np.ascontiguousarray(eight[starts + 8]).view("<u8").ravel() & mask
-    tail = np.ascontiguousarray(eight[ends]).view("<u8").ravel() & ~np.where(
-        keep == 8, _U(0), (_U(1) << (64 - 8 * keep).astype(np.uint64) % _U(64)) - _U(1))
-    return np.stack([head, tail, size.astype(np.uint64)], axis=1)
+    keep = (8 * (8 - np.minimum(size, 8))).astype(np.uint64)
+    head, tail = eight[starts + 8] << keep, eight[ends] >> keep
+    return T.mix(head) * _U(3) ^ T.mix(tail + size.astype(np.uint64))
 
 
 def masked(part: bytes) -> int:
@@ -200,7 +225,7 @@ def _writer(folder: str, path: str):
 
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
-            for row, n, data, offsets in T.chunks(batch.column("text")):
+            for row, n, data, offsets in T.chunks(batch.column("text"), PART):
                 ids, counts = encoder.encode(data, offsets)
                 ids = ids.astype(kind)
                 ends = np.cumsum(counts)
