@@ -27,12 +27,12 @@ from riskframe.llm import text as T
 from riskframe.llm.features import grams, row_sums, sigmoid, word_grams
 from riskframe.llm.stage import arrow
 
-ROWS = 1500
+ROWS = 600
 KEEP = 0.3
 BUCKETS = 1 << 16
-WORDS, CHARS = (1, 2), (3, 5)
+WORDS, CHARS = (1, 2), (4,)
 KINDS = len(WORDS) + len(CHARS)
-STEPS, RATE, DECAY = 200, 0.5, 1e-6
+STEPS, RATE, DECAY = 100, 0.5, 1e-6
 MIN_WORDS, MAX_REPEAT = 10, 20
 SYMBOLS = b"#*$%&|<>"
 
@@ -76,11 +76,11 @@ def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 stops = np.cumsum(counts)
                 for i in range(n):
                     own, times = np.unique(bucket[stops[i] - counts[i]:stops[i]], return_counts=True)
-                    keys[i].append(own + kind * BUCKETS)
+                    keys[i].append((own + kind * BUCKETS).astype(np.int32))
                     values[i].append(times / max(1, counts[i]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("good").slice(row, n),
-                 pa.array([np.concatenate(k) for k in keys], pa.list_(pa.int64())),
+                 pa.array([np.concatenate(k) for k in keys], pa.list_(pa.int32())),
                  pa.array([np.concatenate(v).astype(np.float32) for v in values], pa.list_(pa.float32())),
                  batch.column("fold").slice(row, n)], ["good", "keys", "shares", "fold"])
 
@@ -97,7 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model | None:
     chosen = F.broadcast(lab.where(unit < share))    # about 2 * rows narrow rows
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)).cast("int").alias("fold")
     sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "good", fold)
-    got = arrow(sample, vectors, "good int, keys array<bigint>, shares array<float>, fold int").toArrow()
+    got = arrow(sample, vectors, "good int, keys array<int>, shares array<float>, fold int").toArrow()
     if got.num_rows == 0:
         return None
     y = got["good"].to_numpy().astype(np.float64)
