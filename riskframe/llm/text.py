@@ -41,7 +41,7 @@ _powers: list[np.ndarray] = []
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK + 1024)
+        size = n + n // 8
         _powers[:] = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             column = np.full(size, base, dtype=np.uint64)

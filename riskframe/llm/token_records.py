@@ -33,7 +33,7 @@ END = 2
 #: A partition starts a new file beyond this size.
 FILE_BYTES = 32 << 20
 #: Distinct pieces a worker remembers before it starts afresh; a bound of memory only.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_200_000
 #: Bytes of text encoded at a time, and pieces given to the library at a time.
 PART, SENT = 2 << 20, 20_000
 
@@ -82,7 +82,7 @@ class Encoder:
             return self.plain(data, offsets)
         starts, ends = pieces(data, offsets)
         code = T.Rolling(T.BYTE_CODE[data]).of(starts, ends)
-        values, one, inverse = np.unique(code, return_index=True, return_inverse=True)
+        values, one, inverse = distinct(code)
         proof = edges_of(data, starts, ends)
         if not (proof == proof[one][inverse]).all():       # two pieces of one hash: the plain way
             return self.plain(data, offsets)
@@ -118,6 +118,16 @@ class Encoder:
                 np.array([len(x) for x in lists], dtype=np.int64))
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and which one every value is."""
+    order = np.argsort(values)
+    ordered = values[order]
+    fresh = np.append(True, ordered[1:] != ordered[:-1])
+    which = np.empty(len(values), dtype=np.int64)
+    which[order] = np.cumsum(fresh) - 1
+    return ordered[fresh], order[fresh], which
+
+
 _WIDE_SPACE_LEAD = (0xC2, 0xE1, 0xE2, 0xE3)  # first bytes of white space beyond ASCII
 _OPENS = T.SOLID.copy()
 _OPENS[list(_WIDE_SPACE_LEAD)] = False
