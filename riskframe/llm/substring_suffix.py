@@ -3,7 +3,8 @@
 Segments of the corpus (see ``segments``) are dealt out by content. In each shard the
 suffixes that start a window are sorted one bucket at a time. Ties longer than the cover's
 period are resolved by the ranks of sampled suffixes: for any two suffixes a shift below the
-period takes both to samples, whose order is computed once. Neighbours in the order that
+period takes both to samples, whose order is computed once. Segments are laid out so that equal
+windows have equal residues and most ties need one shift only. Neighbours in the order that
 share ``WINDOW`` bytes are repeats.
 
 Defined results: a null or empty text has no bytes; short texts keep everything; repeated rows
@@ -41,11 +42,41 @@ def prefixes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def sample_ranks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def aligned(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The segments laid out anew, each with its least piece at a multiple of the period.
+
+    Equal windows of two segments then start at places of the same residue, whose ties one
+    look at the sampled ranks resolves. Returns the bytes and where each segment starts.
+    """
+    sizes = np.diff(offsets)
+    piece = T.Rolling(T.BYTE_CODE[data]).all(SCHEME.piece)
+    counts = np.maximum(sizes - SCHEME.piece + 1, 0)
+    some = np.flatnonzero(counts)
+    own = piece[T.ranges(offsets[:-1][some], counts[some])]
+    head = np.cumsum(counts[some]) - counts[some]
+    anchor = np.zeros(len(sizes), dtype=np.int64)
+    if len(some):
+        low = np.minimum.reduceat(own, head)
+        hits = np.flatnonzero(own == np.repeat(low, counts[some]))
+        anchor[some] = hits[np.searchsorted(hits, head)] - head
+    room = sizes + PERIOD - 1
+    slot = np.cumsum(room) - room
+    start = slot + (-(slot + anchor)) % PERIOD
+    out = np.zeros(int(room.sum()), dtype=np.uint8)
+    out[T.ranges(start, sizes)] = data
+    return out, start
+
+
+def sample_ranks(data: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Rank of every suffix whose place is in the cover, up to its segment's end; else 0."""
     n = len(data)
     place = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER))
-    stop = offsets[np.searchsorted(offsets, place, side="right")]
+    of = np.searchsorted(start, place, side="right") - 1
+    inside = (of >= 0) & (place < (start + sizes)[np.maximum(of, 0)])
+    place, of = place[inside], of[inside]
+    if not len(place):
+        return np.zeros(n, dtype=np.uint64)
+    stop = (start + sizes)[of]
     left = stop - place
     one, two = prefixes(data, place)
     # bytes beyond the segment do not count, nor those beyond one period
@@ -92,6 +123,15 @@ def sort_bucket(at: np.ndarray, one: np.ndarray, two: np.ndarray, rank: np.ndarr
         return at
     place, base = at[tied], group[tied].astype(np.uint64) << _U(32)
     residue = place % PERIOD
+    mixed = np.zeros(len(head), dtype=bool)
+    mixed[group[tied][1:][(group[tied][1:] == group[tied][:-1]) & (residue[1:] != residue[:-1])]] = True
+    alike = ~mixed[group[tied]]
+    out = at.copy()
+    key = base[alike] | rank[place[alike] + _SHIFT[residue[alike], residue[alike]]]
+    out[tied[alike]] = place[alike][np.argsort(key)]
+    tied, place, base, residue = tied[~alike], place[~alike], base[~alike], residue[~alike]
+    if not len(tied):
+        return out
     of = [np.flatnonzero(residue == r) for r in range(PERIOD)]
     below = np.zeros(len(tied), dtype=np.int64)  # members of the group that come before
     for a in range(PERIOD):
@@ -110,19 +150,18 @@ def sort_bucket(at: np.ndarray, one: np.ndarray, two: np.ndarray, rank: np.ndarr
             key_sorted, keys_sorted = np.sort(key), np.sort(keys)
             below[mine] += np.searchsorted(keys_sorted, key) - np.searchsorted(keys_sorted, base[mine])
             below[other] += np.searchsorted(key_sorted, keys) - np.searchsorted(key_sorted, base[other])
-    out = at.copy()
     out[head[group[tied]] + below] = place
     return out
 
 
 def index(data: np.ndarray, offsets: np.ndarray, copies: np.ndarray) -> list[np.ndarray]:
     """Per segment, which of its windows occur twice or more in the shard."""
-    data = np.ascontiguousarray(data)
     sizes = np.diff(offsets)
     windows = np.maximum(sizes - WINDOW + 1, 0)
-    rank = sample_ranks(data, offsets)
+    data, begin = aligned(data, offsets)
+    rank = sample_ranks(data, begin, sizes)
     hashes = T.Rolling(T.BYTE_CODE[data]).all(WINDOW)
-    starts = T.ranges(offsets[:-1], windows)
+    starts = T.ranges(begin, windows)
     owner = np.repeat(np.arange(len(sizes)), windows)
     marked = np.zeros(len(data), dtype=bool)
     one, two = prefixes(data, starts)
@@ -150,7 +189,7 @@ def index(data: np.ndarray, offsets: np.ndarray, copies: np.ndarray) -> list[np.
         head = np.flatnonzero(~same)
         total = np.add.reduceat(share[order], head)
         marked[order] = np.repeat(total >= 2, np.diff(np.append(head, len(order))))
-    return [marked[b:b + w] for b, w in zip(offsets[:-1].tolist(), windows.tolist())]
+    return [marked[b:b + w] for b, w in zip(begin.tolist(), windows.tolist())]
 
 
 DIGEST = "doc_id bigint, uid bigint, n_bytes bigint, whole_sha string"
