@@ -65,9 +65,9 @@ def templates(places: DataFrame) -> DataFrame:
         below = staged(below, "branches")
         parent = below.groupBy("host", "prefix").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb"))
         other_l, other_b = F.col("pl") - F.col("l"), F.col("pb") - F.col("b")
-        share = F.col("pb") / F.col("pl")
-        spread = F.sqrt(share * (1 - share) * (1.0 / F.col("l") + 1.0 / other_l))
-        z = F.abs(F.col("b") / F.col("l") - other_b / other_l) / spread
+        share = F.try_divide("pb", "pl")            # null, hence not apart, without labels
+        spread = F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1.0), F.col("l")) + F.try_divide(F.lit(1.0), other_l)))
+        z = F.try_divide(F.abs(F.try_divide("b", "l") - F.try_divide(other_b, other_l)), spread)
         apart = (F.col("l") > 0) & (other_l > 0) & (share > 0) & (share < 1)
         kept = (below.join(parent, ["host", "prefix"]).where((F.col("n") >= SUPPORT) & apart)
                 .where(z >= APART).select("host", "prefix", "seg", F.lit(True).alias("literal")))
