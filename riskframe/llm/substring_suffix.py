@@ -87,34 +87,53 @@ def sample_ranks(data: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.n
     one &= keep_one
     two = (two & keep_two) | size.astype(np.uint64)
     order = np.lexsort((two, one))
-    fresh = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
+    x, y = one[order], two[order]
     slot = np.full(n + 1, len(place), dtype=np.int64)
     slot[place] = np.arange(len(place))
-    rank = np.empty(len(place) + 1, dtype=np.uint64)
-    reach, longest = PERIOD, int(left.max(initial=0))
-    while True:
-        rank[order] = np.cumsum(fresh).astype(np.uint64)
-        rank[-1] = 0
-        if fresh.all() or reach >= longest:
-            break
-        ahead = np.where(left > reach, slot[np.minimum(place + reach, n)], len(place))
-        key = (rank[:-1] << _U(32)) | rank[ahead]
-        order = np.argsort(key)
-        fresh = np.append(True, key[order][1:] != key[order][:-1])
+    rank = np.zeros(len(place) + 1, dtype=np.uint64)     # the last one stands for the end
+    reach, deepest = PERIOD, int(left.max())
+
+    def settle(who: np.ndarray, at: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+        """Rank groups by the place of their head; the places that are still tied."""
+        head = np.flatnonzero(fresh)
+        size = np.diff(np.append(head, len(at)))
+        rank[who] = np.repeat(at[head] + 1, size).astype(np.uint64)
+        return at[np.repeat(size > 1, size)]
+
+    tied = settle(order, np.arange(len(order)), np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+    while len(tied) and reach < deepest:
+        who = order[tied]
+        ahead = np.where(left[who] > reach, slot[np.minimum(place[who] + reach, n)], len(place))
+        key = (rank[who] << _U(32)) | rank[ahead]
+        by = np.argsort(key)
+        who, key = who[by], key[by]
+        order[tied] = who
+        tied = settle(who, tied, np.append(True, key[1:] != key[:-1]))
         reach *= 2
-    if not fresh.all():
-        order = np.argsort((rank[:-1] << _U(32)) | place.astype(np.uint64))
-        rank[order] = np.arange(1, len(order) + 1, dtype=np.uint64)
+    if len(tied):                                        # alike to their ends: by place
+        who = order[tied]
+        who = who[np.argsort((rank[who] << _U(32)) | place[who].astype(np.uint64))]
+        rank[who] = tied.astype(np.uint64) + _U(1)
     full = np.zeros(n, dtype=np.uint64)
     full[place] = rank[:-1]
     return full
 
 
-def sort_bucket(at: np.ndarray, one: np.ndarray, two: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Suffix places in order. Each has at least PERIOD bytes left in its segment."""
+def sort_bucket(data: np.ndarray, at: np.ndarray, one: np.ndarray, two: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Suffix places in order. Each starts a window, so 32 bytes can be read before the ranks."""
     order = np.lexsort((two, one))
     at, one, two = at[order], one[order], two[order]
     fresh = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
+    size = np.diff(np.append(np.flatnonzero(fresh), len(at)))
+    some = np.flatnonzero(np.repeat(size > 1, size))
+    if not len(some):
+        return at
+    run = np.cumsum(fresh)[some]
+    three, four = prefixes(data, at[some] + 16)
+    by = np.lexsort((four, three, run))
+    at[some] = at[some][by]
+    run, three, four = run[by], three[by], four[by]
+    fresh[some[1:]] = (run[1:] != run[:-1]) | (three[1:] != three[:-1]) | (four[1:] != four[:-1])
     group = np.cumsum(fresh) - 1
     head = np.flatnonzero(fresh)
     sizes = np.diff(np.append(head, len(at)))
@@ -178,7 +197,7 @@ def index(data: np.ndarray, offsets: np.ndarray, copies: np.ndarray) -> list[np.
         if low == high:
             continue
         mine = by_bucket[low:high]
-        order = sort_bucket(starts[mine], one[mine], two[mine], rank)
+        order = sort_bucket(data, starts[mine], one[mine], two[mine], rank)
         same = np.append(False, hashes[order[1:]] == hashes[order[:-1]])
         near = np.flatnonzero(same)
         for k in range(0, len(near), 8192):  # exact check of the shared bytes

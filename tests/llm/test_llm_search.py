@@ -113,7 +113,7 @@ def test_suffix_buckets_are_in_order():
     rank = B.sample_ranks(data, start, sizes)
     at = np.append(np.arange(0, 1450), np.arange(1500, 2950))
     one, two = B.prefixes(data, at)
-    order = B.sort_bucket(at, one, two, rank)
+    order = B.sort_bucket(data, at, one, two, rank)
     body = data.tobytes()
     tails = [body[i:1500 if i < 1500 else 3000] for i in order.tolist()]
     assert tails == sorted(tails)
