@@ -69,7 +69,23 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def returned() -> None:
+    """Give memory that a worker no longer uses back to the machine; workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` with the package at hand in the workers."""
+    """``mapInArrow`` with the package at hand in the workers, which keep little afterwards."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def task(batches):
+        yield from function(batches)
+        returned()
+
+    return df.mapInArrow(task, schema)

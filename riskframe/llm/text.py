@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at a time; only a longer single text goes beyond it.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 _BYTE = np.arange(256)
 #: Words of letters, digits and everything beyond ASCII; ``LOWER`` folds A-Z only.
