@@ -117,12 +117,13 @@ def document_features(documents: DataFrame, keep_totals: bool = False) -> DataFr
     op, who, home, bank = (F.col(c) for c in ("operation", "borrower", "household", "behaviour"))
 
     def count_where(array: str, test: Callable[[Column], Column]) -> Column:
-        return F.size(F.filter(array, test))
+        """Lines, not entries: an entry may stand for several lines."""
+        return F.aggregate(F.filter(array, test), F.lit(0), lambda n, x: n + x["lines"])
 
     derived = {
         "down_payment_ratio": credit.down_payment_ratio(op["down_payment"],
                                                         op["requested_amount"]),
-        "existing_loans_n": F.size("existing_loans"),
+        "existing_loans_n": count_where("existing_loans", lambda x: F.lit(True)),
         "revolving_loans": count_where("existing_loans", lambda x: x["loan_kind"] == "revolving"),
         "loan_incidents_12m": F.aggregate("existing_loans", F.lit(0),
                                           lambda n, x: n + x["incidents_12m"]),

@@ -183,7 +183,8 @@ def affordable_principal(spark, sf_dir):
     rows = rows_of(spark, sf_dir)
     amount = credit.affordable_principal(
         F.col("weighted_income"), F.lit(0.105), F.col("nominal_rate"), F.col("term_months"),
-        F.lit(1000.0), F.lit(60000.0))
+        *(F.try_element_at(F.create_map(*[F.lit(x) for code, both in refdata.AMOUNT_BOUNDS.items()
+                                         for x in (code, float(both[i]))]), F.col("loan_type")) for i in (0, 1)))
     return rows.select("application_reference", amount.alias("principal"),
                        credit.usury_cap(amount).alias("usury_cap"))
 
@@ -284,12 +285,7 @@ def check_co_borrower(spark, sf_dir):
 
 @query
 def check_decline_reason(spark, sf_dir):
-    """The check applied to favourable reasons alone: declines that have none of them."""
-    t = tables(spark, sf_dir)
-    adverse = F.broadcast(t["reason"].where("polarity = 'adverse'")
-                          .select(F.col("code").alias("reason_code")))
-    kept = t["decision_reason"].join(adverse, "reason_code", "left_anti")
-    return quality.declines_without_reason(t.replace(decision_reason=kept))
+    return quality.declines_without_reason(tables(spark, sf_dir))
 
 
 @query
@@ -487,6 +483,15 @@ def contributions_expert(spark, sf_dir):
         F.col("factor.contribution").alias("contribution"))
 
 
+@query
+def document_features(spark, sf_dir):
+    """Line counts that assessable documents carry, which must be those of the line tables."""
+    features = scoring.document_features(
+        documents.valid(documents.validate(parsed_documents(spark, sf_dir)))).where("indicator_error IS NULL")
+    return features.select("reference", *[F.col(c).cast("bigint").alias(c) for c in (
+        "existing_loans", "revolving_loans", "loan_incidents_12m", "undocumented_income_lines")])
+
+
 @query
 def max_amount(spark, sf_dir):
     docs = documents.valid(documents.validate(parsed_documents(spark, sf_dir)))

@@ -66,7 +66,8 @@ def load(spark: SparkSession, sf_dir: str, folder: str | None = None) -> Tables:
     granted = F.col("decision_result").isin("approved", "approved_with_conditions")
     return t.replace(**write_many(spark, {
         "decision": _decision(decided),
-        "decision_reason": pivots.explode_reasons(decided),
+        # the captured reasons of some files are missing, so that the checks have findings
+        "decision_reason": pivots.explode_reasons(decided.where(key % 211 != 0)),
         "outcome": rules.outcomes(decided.where(granted), REFERENCE_DATE,
                                   draw(key, rules.OUTCOME)),
         "counterfactual_outcome": rules.outcomes(

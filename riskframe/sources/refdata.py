@@ -18,6 +18,12 @@ LOAN_TYPES = [
     ("LEASE_TO_OWN", "Lease with purchase option"),
 ]
 
+# Smallest and largest amount of each product.
+AMOUNT_BOUNDS = {
+    "PERSONAL_LOAN": (3000, 40000), "AUTO": (5000, 45000), "HOME_IMPROVEMENT": (4000, 50000),
+    "REVOLVING": (1000, 6000), "DEBT_CONSOLIDATION": (8000, 60000), "LEASE_TO_OWN": (8000, 35000),
+}
+
 EMPLOYMENT_CONTRACTS = [
     ("PERMANENT", "Permanent contract, probation passed (CDI)", "stable"),
     ("CIVIL_SERVANT", "Tenured civil servant", "stable"),
