@@ -48,7 +48,6 @@ RARE_BELOW = 20
 AUC_GAIN_FOR_BOOSTING = 0.02
 BRIER_GAIN_FOR_CALIBRATION = 0.01
 FOLDS = 5
-ROWS_PER_TASK = 20_000
 BOOSTING_ROUNDS, BOOSTING_STEP = 400, 0.06
 IMPORTANCE_REPEATS, IMPORTANCE_FLOOR, IMPORTANCE_TOP = 5, 0.0002, 15
 # -------------------------------------------------------------------------------------
@@ -198,28 +197,18 @@ def _fit(name: str, train: DataFrame, columns: list[str], classifier) -> Card:
     return Card(name, columns, Pipeline(stages=stages).fit(train))
 
 
-def sized(train: DataFrame, rows: int) -> DataFrame:
-    """Fewer partitions for small training sets; large ones keep all of theirs.
-
-    An iterative fit runs one short job per step, so partitions of a few hundred
-    rows cost more to schedule than to sum.
-    """
-    return train.coalesce(rows // ROWS_PER_TASK + 1)
-
-
 def logistic(train: DataFrame, columns: list[str], c: float, name: str | None = None,
              weight: str | None = None, label: str = "label") -> Card:
     """Ridge logistic regression; ``c`` scales the data term as a sum over rows."""
     train = train.persist()
     try:
-        rows, total = train.agg(F.count(F.lit(1)),
-                                F.sum(weight) if weight else F.count(F.lit(1))).first()
+        total = train.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
         estimator = LogisticRegression(
             featuresCol="features", labelCol=label, maxIter=300, regParam=1.0 / (c * float(total)),
             elasticNetParam=0.0, standardization=False)
         if weight:
             estimator.setWeightCol(weight)
-        return _fit(name or f"logistic_C{c}", sized(train, rows), columns, estimator)
+        return _fit(name or f"logistic_C{c}", train, columns, estimator)
     finally:
         train.unpersist()
 
@@ -228,8 +217,7 @@ def boosted(train: DataFrame, columns: list[str], depth: int, rounds: int = BOOS
             name: str | None = None, label: str = "label") -> Card:
     train = train.persist()
     try:
-        small = sized(train, train.count())
-        return _fit(name or f"gb_depth{depth}", small, columns, GBTClassifier(
+        return _fit(name or f"gb_depth{depth}", train, columns, GBTClassifier(
             featuresCol="features", labelCol=label, maxDepth=depth, maxIter=rounds,
             stepSize=BOOSTING_STEP, seed=0))
     finally:
@@ -320,17 +308,12 @@ def select_card(rows: DataFrame, *, rounds: int = BOOSTING_ROUNDS,
 # ---- out-of-fold predictions and calibration --------------------------------------------------
 def with_folds(rows: DataFrame, folds: int = FOLDS, key: str = "application_id",
                label: str = "label") -> DataFrame:
-    """Balanced folds per class.
+    """A fold per row from its key and class alone.
 
-    Rows are dealt out inside random slices of each class, as many as keep a slice
-    near ``ROWS_PER_TASK`` rows, so no class has to be numbered in one task. A small
-    table is one slice and its folds differ by at most one row per class.
+    The fold of a file is the same however many other files there are, and needs no
+    exchange; classes spread evenly over the folds as their keys do.
     """
-    slices = F.pmod(F.xxhash64(F.col(key)), F.lit(rows.count() // ROWS_PER_TASK + 1))
-    rows = rows.withColumn("_slice", slices)
-    dealt = F.row_number().over(W.partitionBy(label, "_slice").orderBy(key))
-    return rows.withColumn("fold", F.pmod(dealt + F.col("_slice"), F.lit(folds))
-                           .cast("int")).drop("_slice")
+    return rows.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.col(label)), F.lit(folds)).cast("int"))
 
 
 def out_of_fold(train: DataFrame, columns: list[str], c: float, folds: int = FOLDS) -> DataFrame:
@@ -531,9 +514,8 @@ def train_decision(rows: DataFrame, columns: list[str] | None = None, *, trees:
         candidates["gb_one_vs_rest"] = OneVsRest(classifier=GBTClassifier(
             maxDepth=6, maxIter=rounds, stepSize=BOOSTING_STEP, seed=0))
     # The inputs are prepared once; every candidate learns from the same vectors.
-    small = sized(train_i, n)
-    prepared = preprocessor(small, columns).fit(small)
-    vectors = prepared.transform(small).select("features", "label").persist()
+    prepared = preprocessor(train_i, columns).fit(train_i)
+    vectors = prepared.transform(train_i).select("features", "label").persist()
     fitted, scores = {}, {}
     for name, estimator in candidates.items():
         model = PipelineModel(stages=prepared.stages + [estimator.fit(vectors)])

@@ -31,6 +31,7 @@ INPUTS = [
 # ---- fixed values: salts of the keyed draws -----------------------------------
 OVERRIDE, LOW_SCORE, GREY_ZONE, REMAINDER, DEFERRAL = 31, 37, 41, 43, 47
 OUTCOME, COUNTERFACTUAL = 53, 59
+NEW_RELATIONSHIP, SHORTER, SHORTER_BY = 61, 67, 71
 # -------------------------------------------------------------------------------
 
 
@@ -146,8 +147,10 @@ def with_policy(rows: DataFrame, chance: Chance | None = None) -> DataFrame:
             ("approved", 0.88), ("approved_with_conditions", 0.12)]))
         .otherwise(_split_three(chance, REMAINDER, [
             ("approved", 0.45), ("approved_with_conditions", 0.40), ("declined", 0.15)])))
-    deferred = (F.array_contains("reason_codes", "UNDOCUMENTED_INCOME")
-                & _fires(chance, DEFERRAL, 0.45))
+    deferred = ((F.array_contains("reason_codes", "UNDOCUMENTED_INCOME")
+                 & _fires(chance, DEFERRAL, 0.45))
+                | ((F.col("rule_relationship_months") < 6)
+                   & _fires(chance, NEW_RELATIONSHIP, 0.20)))
     # -------------------------------------------------------------------------------
     candidate = (F.array_contains("reason_codes", "UNDOCUMENTED_INCOME")
                  | (F.col("rule_relationship_months") < 6))
@@ -194,21 +197,33 @@ def conditions_text(amount: Column, reduced: Column, term: Column, shortened: Co
     return F.when(pieces == "", stock).otherwise(pieces)
 
 
-def with_offer(rows: DataFrame) -> DataFrame:
-    """Adds approved amount, term, conditions and grade; a counter-offer is cut to 70 %."""
+def shorter_term(term: Column, chance: Chance) -> Column:
+    """Three quarters of the term or more, by a draw, and six months at least."""
+    return F.greatest(F.lit(6), F.floor(term * (F.lit(0.75) + F.lit(0.25) * chance(SHORTER_BY))).cast("int"))
+
+
+def with_offer(rows: DataFrame, chance: Chance | None = None) -> DataFrame:
+    """Adds approved amount, term, conditions and grade.
+
+    A counter-offer above the debt cap is cut to 70 % of the amount; with chance about a
+    third of the counter-offers also get a shorter term.
+    """
     approved = F.col("decision_result").isin(*credit.APPROVALS)
     conditional = F.col("decision_result") == "approved_with_conditions"
     reduced = conditional & (F.col("dti_after_pct") > credit.DTI_CAP_PCT)
     requested = F.col("requested_amount")
+    shortened = conditional & _fires(chance, SHORTER, 0.35)
+    term = F.when(approved, F.col("term_months"))
+    if chance is not None:
+        term = F.when(shortened, shorter_term(F.col("term_months"), chance)).otherwise(term)
     rows = rows.withColumns({
         "approved_amount": F.when(reduced, F.floor(requested * F.lit(0.7)).cast("double"))
         .when(approved, requested),
-        "approved_term_months": F.when(approved, F.col("term_months")),
+        "approved_term_months": term,
         "risk_grade": credit.grade_from_score(F.col("risk_score"))})
     return rows.withColumn("conditions", F.when(conditional, conditions_text(
         F.col("approved_amount"), F.coalesce(reduced, F.lit(False)),
-        F.col("approved_term_months"),
-        F.col("approved_term_months") < F.col("term_months"),
+        F.col("approved_term_months"), F.coalesce(shortened, F.lit(False)),
         F.col("insurance_taken") == 0)))
 
 
@@ -302,11 +317,11 @@ def with_rationale(rows: DataFrame, key: str = "application_id") -> DataFrame:
 def decide(rows: DataFrame, chance: Chance | None = None) -> DataFrame:
     """Situation rows to decided rows: reasons, risk, policy, offer and text."""
     decided = with_policy(with_expert_risk(with_reasons(rows)), chance)
-    return with_rationale(with_offer(with_final_reasons(decided)))
+    return with_rationale(with_offer(with_final_reasons(decided), chance))
 
 
 def effective_risk(risk: Column, approved: Column, requested: Column) -> Column:
-    """A counter-offer that cuts the amount also cuts the risk."""
+    """Risk after the offer: only the granted part of the request scales 45 % of it."""
     return risk * (F.lit(0.55) + F.lit(0.45) * (approved / requested))
 
 

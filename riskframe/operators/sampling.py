@@ -78,12 +78,15 @@ def stratified_sample(rows: DataFrame, batches: int = BATCHES,
 
 
 def batched(sample: DataFrame, per_batch: int = PER_BATCH, seed: int = SHUFFLE_SEED,
-            batches: int = BATCHES) -> DataFrame:
-    """Shuffles a bounded sample by a keyed draw and numbers its batches from 1."""
+            batches: int | None = BATCHES) -> DataFrame:
+    """Shuffles a bounded sample by a keyed draw and numbers its batches from 1.
+
+    Without a number of batches every row of the sample is given out.
+    """
     order = W.orderBy(draw(F.col("application_id"), seed), "application_id")
     position = F.row_number().over(order) - 1
-    return (sample.withColumn("batch", (F.floor(position / per_batch) + 1).cast("int"))
-            .where(F.col("batch") <= batches))
+    numbered = sample.withColumn("batch", (F.floor(position / per_batch) + 1).cast("int"))
+    return numbered if batches is None else numbered.where(F.col("batch") <= batches)
 
 
 def random_pick(rows: DataFrame, n: int, seed: int = 0,

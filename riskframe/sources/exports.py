@@ -128,8 +128,8 @@ def summaries(rows: DataFrame, t: Tables, sample: DataFrame) -> DataFrame:
 
 
 def write_batches(nested: DataFrame, folder: str, per_batch: int = sampling.PER_BATCH) -> None:
-    """One JSON folder per batch."""
-    (sampling.batched(nested, per_batch).drop("application_id")
+    """One JSON folder per batch, as many batches as the sample fills."""
+    (sampling.batched(nested, per_batch, batches=None).drop("application_id")
      .repartition("batch").write.mode("overwrite").partitionBy("batch").json(folder))
 
 
