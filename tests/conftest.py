@@ -7,10 +7,9 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 sys.path.insert(0, str(ROOT / "tests"))
 
+from paths import TINY  # noqa: E402
 from riskframe.session import build_session  # noqa: E402
 
-TINY, SMALL = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():

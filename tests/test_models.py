@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from paths import SMALL
 from riskframe.operators import dataset, metrics, modelling, scoring
 from riskframe.plans import warehouse
 from riskframe.sources import documents
