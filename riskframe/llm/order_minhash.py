@@ -7,11 +7,14 @@ similarity of its shingle sets and its word edit similarity are both ``SIMILARIT
 more; the edit distance comes from an alignment in the band that this allows. Classes are
 the components of the links.
 
-Texts of equal words are one node before any comparison. A bucket of up to ``PAIRS`` nodes
-compares all its pairs; a larger one compares every node with its ``HUBS``, the nodes that share
-most buckets with others. Members left outside the class of the first hub are dealt out again
-by further sketches until their buckets are small. No large group is expanded into all its
-pairs and none is cut.
+Texts of equal words are one node before any comparison. Nodes of a bucket meet in blocks of
+bounded size as narrow rows: class so far, size of the shingle set, and its parities (the number
+of shingles in each of many hash classes, modulo 2). Parities that differ are a lower bound of
+the symmetric difference of two sets, so most pairs below the threshold fall out without error
+and without their texts. Of the pairs that are left between different classes, a block asks for
+the alignment of a least spanning forest, closest pairs first. Rounds go on until no block has a
+pair of different classes that is not aligned, so the classes are those of all candidate pairs,
+while a group of copies costs about as many alignments as it has members.
 
 Defined results: a null text is a class of its own; texts without words are one class if their
 bytes are equal; texts under five words are linked only if equal; repeated rows share a class.
@@ -28,28 +31,34 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskframe.llm import text as T
 from riskframe.llm.components import components
-from riskframe.llm.stage import arrow, identified, scratch, staged
+from riskframe.llm.stage import arrow, fresh, identified, staged
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, LEAST = 24, 5
-PAIRS, DEEP_PAIRS = 16, 96      # largest buckets that compare all pairs, at first and when dealt again
-HUBS, NEXT = 2, 3
+#: Parity bits of a shingle set: the power of two at or above twice its size, within these bounds.
+LEAST_BITS, MOST_BITS = 256, 8192
+#: Members of a bucket in one block; of larger buckets, about the square root of this times their size.
+BLOCK = 512
+#: Rows gathered, pairs compared and pairs kept at a time, in whole blocks.
+SLAB, PIECE, KEPT = 1 << 14, 1 << 19, 1 << 17
 
 _U = np.uint64
 _SEEDS = T.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 LINKED = "a string, b string, linked boolean"
-SKETCHED = "doc_id bigint, uid bigint, node string, bands array<bigint>"
+SKETCHED = "doc_id bigint, uid bigint, node string, bands array<bigint>, size int, parity binary"
+ASKED = "bucket bigint, a string, b string"
 
 
-def labelled(shingles: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Shingle hashes told apart by their occurrence within the document."""
+def labelled(shingles: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes told apart by their occurrence within the document, and where each stands once."""
     mixed = shingles ^ T.mix(owner.astype(np.uint64) + _U(1))
     order = np.argsort(mixed)
     ordered = mixed[order]
     again = np.append(False, ordered[1:] == ordered[:-1])
+    distinct = order[~again]
     if not again.any():
-        return shingles
+        return shingles, distinct
     run = np.cumsum(~again) - 1
     some = np.isin(run, run[again])          # only shingles that recur need an order by place
     place, run = order[some], run[some]
@@ -58,19 +67,32 @@ def labelled(shingles: np.ndarray, owner: np.ndarray) -> np.ndarray:
     nth = np.arange(len(run)) - np.searchsorted(run, run)
     out = shingles.copy()
     out[place] = T.mix(shingles[place] + nth.astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F))
-    return out
+    return out, distinct
+
+
+def parities(shingles: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bytes of the rows' sets one after another, and where each row's begin."""
+    bits = np.clip(1 << np.ceil(np.log2(2 * sizes)).astype(np.int64), LEAST_BITS, MOST_BITS)
+    begin = np.append(0, np.cumsum(bits))
+    place = begin[owner] + (T.mix(shingles * _U(0xBF58476D1CE4E5B9)) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(place, minlength=begin[-1]) & 1
+    return np.packbits(odd.astype(bool), bitorder="little"), begin // 8
 
 
-def sketches(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with enough words, and their sketch hashes (rows, SKETCHES)."""
+def sketches(codes: np.ndarray, first: np.ndarray):
+    """Rows with enough words, their sketch hashes (rows, SKETCHES), set sizes, parities and their places."""
     sizes = np.diff(first) - SHINGLE + 1
     rows = np.flatnonzero(sizes > 0)
     if not len(rows):
-        return rows, np.zeros((0, SKETCHES), np.int64)
+        return rows, np.zeros((0, SKETCHES), np.int64), sizes[rows], np.zeros(0, np.uint8), np.zeros(1, np.int64)
     sizes = sizes[rows]
     at = T.ranges(first[rows], sizes)
     owner = np.repeat(np.arange(len(rows)), sizes)
-    label = labelled(T.Rolling(codes).all(SHINGLE)[at], owner)
+    shingles = T.Rolling(codes).all(SHINGLE)[at]
+    label, distinct = labelled(shingles, owner)
+    owners = owner[distinct]
+    counts = np.bincount(owners, minlength=len(rows))
+    parity = parities(shingles[distinct], owners, counts)
     head = np.cumsum(sizes) - sizes
     out = np.zeros((len(rows), SKETCHES), dtype=np.int64)
     top = ~_U(0)
@@ -92,7 +114,7 @@ def sketches(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
         for k in range(LEAST):
             code = T.mix(code * _U(0xA24BAED4963EE407) + chosen[:, k])
         out[:, i] = code.view(np.int64)
-    return rows, out
+    return rows, out, counts, *parity
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,13 +132,17 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 body = data[offsets[i]:offsets[i + 1]].tobytes()
                 names[i] = (f"null-{uid[i].as_py()}" if absent[row + i]
                             else f"raw-{hashlib.sha256(body).hexdigest()}")
-            some, found = sketches(codes, first)
+            some, found, sizes, parity, places = sketches(codes, first)
             bounds = np.zeros(n + 1, dtype=np.int32)
             bounds[some + 1] = SKETCHES
             bands = pa.ListArray.from_arrays(pa.array(np.cumsum(bounds, dtype=np.int32)), pa.array(found.ravel()))
+            size, length = np.zeros(n, np.int32), np.zeros(n, np.int64)
+            size[some], length[some] = sizes, np.diff(places)
+            packed = pa.Array.from_buffers(pa.binary(), n, [
+                None, pa.py_buffer(np.append(0, np.cumsum(length)).astype(np.int32)), pa.py_buffer(parity)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(row, n), uid, pa.array(names, pa.string()), bands],
-                ["doc_id", "uid", "node", "bands"])
+                [batch.column("doc_id").slice(row, n), uid, pa.array(names, pa.string()), bands, pa.array(size), packed],
+                ["doc_id", "uid", "node", "bands", "size", "parity"])
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
@@ -193,78 +219,212 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return arrow(pairs.join(one, "a").join(two, "b"), _verify, LINKED)
 
 
-def compared(buckets: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b) of buckets, and the members of those above ``most`` with their hubs.
+def folded(data: np.ndarray, offsets: np.ndarray, words: int) -> np.ndarray:
+    """Parities of rows that have at least so many 64-bit words, folded to that many (rows, words)."""
+    out = np.zeros((len(offsets) - 1, words), dtype=np.uint64)
+    lengths = np.diff(offsets) // (8 * words)
+    for times in np.unique(lengths[lengths > 0]).tolist():
+        rows = np.flatnonzero(lengths == times)
+        at = T.ranges(offsets[rows] // 8, np.full(len(rows), times * words))
+        parts = data.view(np.uint64)[at].reshape(len(rows), times, words)
+        out[rows] = np.bitwise_xor.reduce(parts, axis=1)
+    return out
 
-    Each hub is the best member of its share of the bucket, so partial aggregates find them all.
-    """
-    share = F.pmod(F.xxhash64("node"), F.lit(HUBS))
-    best = [F.max(F.when(share == i, F.struct("score", "node"))) for i in range(HUBS)]
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.array(*best).alias("best")).where("size > 1").select(
-        "bucket", "size", F.sort_array(F.array_compact("best"), asc=False)["node"].alias("hubs"))
-    sized = staged(buckets.join(sizes, "bucket"), "sized")
-    few = sized.where(F.col("size") <= most).select("bucket", "node")
-    close = few.alias("x").join(few.alias("y"), "bucket").where("x.node < y.node").select(
-        F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    many = sized.where(F.col("size") > most)
-    around = many.select("node", F.explode("hubs").alias("hub")).where("node <> hub").select(
-        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    return close.unionByName(around).distinct(), many.withColumn("hub", F.get("hubs", F.lit(0))).drop("hubs")
-
-
-def linked_classes(buckets: DataFrame, bands: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of all nodes that the buckets lead to links for.
-
-    buckets: bucket, last (the sketch it comes from), node, score; bands: the sketches of a node.
-    True partners agree in many sketches, so what the hubs leave over is dealt by each of the
-    next ``NEXT`` sketches the first time and by the next one from then on.
-    """
-    spark, paths, joined, ahead, most = texts.sparkSession, [], None, NEXT, PAIRS
 
-    def links() -> DataFrame:
-        return spark.read.schema(LINKED).parquet(*paths)
+class Forest:
+    """Closest pairs between classes, block by block: what a least spanning forest needs, and if that is all.
 
+    Pairs are offered in pieces; a forest of the whole lies within the forests of its pieces.
+    """
+
+    def __init__(self, root: np.ndarray, depth: int):
+        self.root, self.depth = root, depth
+        self.held: list[np.ndarray] = []
+        self.size = 0
+        self.more: set[int] = set()        # blocks with pairs that were left out
+
+    def offer(self, block: np.ndarray, distance: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+        self.held.append(np.stack([block, distance, p, q]))
+        self.size += len(p)
+        if self.size > KEPT:
+            self.reduce()
+
+    def reduce(self) -> np.ndarray:
+        rows = np.concatenate(self.held, axis=1) if self.held else np.zeros((4, 0), np.int64)
+        rows = rows[:, np.lexsort((rows[3], rows[2], rows[1], rows[0]))]
+        left = np.arange(rows.shape[1])
+        keep = np.zeros(rows.shape[1], dtype=bool)
+        for _ in range(self.depth):
+            parent: dict[int, int] = {}
+            last = -1
+            for i, block, a, b in zip(left.tolist(), rows[0, left].tolist(), self.root[rows[2, left]].tolist(),
+                                      self.root[rows[3, left]].tolist()):
+                if block != last:
+                    parent, last = {}, block
+                while (up := parent.get(a, a)) != a:
+                    parent[a] = a = parent.get(up, up)
+                while (up := parent.get(b, b)) != b:
+                    parent[b] = b = parent.get(up, up)
+                if a != b:
+                    parent[a] = b
+                    keep[i] = True
+            left = np.flatnonzero(~keep)
+        self.more.update(np.unique(rows[0, ~keep]).tolist())
+        self.held, self.size = [rows[:, keep]], int(keep.sum())
+        return self.held[0]
+
+
+def _asked(depth: int):
+    """Pairs to align from rows in whole blocks, sorted by block; a bucket with more to come has a null pair."""
+    def flush(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        bucket, i, j, side = (table[c].to_numpy() for c in ("bucket", "i", "j", "side"))
+        new = np.append(True, (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+        block = np.cumsum(new) - 1
+        names = pa.chunked_array([*table["node"].chunks, *table["other"].chunks]).combine_chunks().dictionary_encode()
+        known, code = names.dictionary, names.indices.fill_null(-1).to_numpy()
+        node, other = code[:len(bucket)].astype(np.int64), code[len(bucket):].astype(np.int64)
+        # rows of pairs that were aligned before come first in their block
+        gone = other >= 0
+        done = np.minimum(node, other)[gone] * len(known) + np.maximum(node, other)[gone]
+        mine = np.flatnonzero(~gone)
+        block, side, node, cross = block[mine], side[mine], node[mine], (i != j)[mine]
+        root = table["root"].take(pa.array(mine)).combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        size = table["size"].to_numpy()[mine].astype(np.int64)
+        data, offsets = T.layout(table["parity"].take(pa.array(mine)).combine_chunks())
+        width = np.diff(offsets) // 8
+        sheets: dict[int, np.ndarray] = {}
+        place = np.arange(len(mine))
+        end = np.searchsorted(block, block, side="right")
+        second = np.searchsorted(2 * block + side, 2 * block + 1)
+        start = np.where(cross, np.where(side == 0, second, end), place + 1)
+        counts = end - start
+        forest = Forest(root, depth)
+        for a, b in T.slices(np.append(0, np.cumsum(counts)), PIECE):
+            p = np.repeat(place[a:b], counts[a:b])
+            q = T.ranges(start[a:b], counts[a:b])
+            low, high = np.minimum(size[p], size[q]), np.maximum(size[p], size[q])
+            fine = (root[p] != root[q]) & (node[p] != node[q]) & (low >= SIMILARITY * high - 1e-9)
+            p, q = p[fine], q[fine]
+            if len(done):
+                seen = np.isin(np.minimum(node[p], node[q]) * len(known) + np.maximum(node[p], node[q]), done)
+                p, q = p[~seen], q[~seen]
+            most = (1 - SIMILARITY) / (1 + SIMILARITY) * (size[p] + size[q]) + 1e-6
+            words = np.minimum(width[p], width[q])
+            for w in np.unique(words).tolist():
+                sheet = sheets[w] if w in sheets else sheets.setdefault(w, folded(data, offsets, w))
+                some = np.flatnonzero(words == w)
+                for cut in range(0, len(some), step := max(1, (1 << 22) // w)):
+                    part = some[cut:cut + step]
+                    apart = np.bitwise_count(sheet[p[part]] ^ sheet[q[part]]).sum(axis=1, dtype=np.int64)
+                    near = apart <= most[part]
+                    part = part[near]
+                    forest.offer(block[p[part]], apart[near], p[part], q[part])
+        _, _, p, q = forest.reduce()
+        a, b = (known.take(pa.array(x)) for x in (node[p], node[q]))
+        first = np.flatnonzero(new)
+        open_ = np.unique(bucket[first[np.array(sorted(forest.more), dtype=np.int64)]])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([bucket[mine][p], open_])), pa.concat_arrays([a, pa.nulls(len(open_), pa.string())]),
+             pa.concat_arrays([b, pa.nulls(len(open_), pa.string())])], ["bucket", "a", "b"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows, last = 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "i", "j")])
+            begins = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
+            kept = 0                     # rows of this batch that were handed over before
+            for at, end in zip(begins, [*begins[1:], batch.num_rows]):
+                if (at or last != key[:, 0].tolist()) and rows + end - at > SLAB and rows:
+                    held.append(batch.slice(kept, at - kept))
+                    yield flush(pa.Table.from_batches(held))
+                    held, rows, kept = [], 0, at
+                rows += end - at
+            held.append(batch.slice(kept))
+            last = key[:, -1].tolist()
+        if held:
+            yield flush(pa.Table.from_batches(held))
+    return find
+
+
+def asked(members: DataFrame, nodes: DataFrame, aligned: DataFrame | None, depth: int) -> DataFrame:
+    """(bucket, a, b): pairs to align next; a bucket that will ask again has one row without a pair.
+
+    members: bucket, node, chunks, chunk; nodes: node, root, size, parity; aligned: a, b.
+    """
+    spread = F.sequence(F.lit(0), F.col("chunks") - 1)
+    rows = members.select("bucket", "node", "chunk", F.explode(spread).alias("with")).select(
+        "bucket", "node", F.least("chunk", "with").cast("int").alias("i"), F.greatest("chunk", "with").cast("int").alias("j"),
+        F.when(F.col("chunk") > F.col("with"), 1).otherwise(0).alias("side"))
+    rows = rows.join(nodes, "node").select("bucket", "i", "j", "side", "node", F.lit(None).cast("string").alias("other"),
+                                           "root", "size", "parity")
+    if aligned is not None:
+        one = members.select("bucket", F.col("node").alias("a"), F.col("chunk").alias("x"))
+        two = members.select("bucket", F.col("node").alias("b"), F.col("chunk").alias("y"))
+        rows = rows.unionByName(aligned.join(one, "a").join(two, ["bucket", "b"]).select(
+            "bucket", F.least("x", "y").cast("int").alias("i"), F.greatest("x", "y").cast("int").alias("j"),
+            F.lit(-1).alias("side"), F.col("a").alias("node"), F.col("b").alias("other"),
+            F.lit(None).cast("string").alias("root"), F.lit(0).alias("size"), F.lit(None).cast("binary").alias("parity")))
+    keys = ["bucket", "i", "j"]
+    return arrow(rows.repartition(*keys).sortWithinPartitions(*keys, "side", "node"), _asked(depth), ASKED)
+
+
+def linked_classes(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root) of all linked nodes: components of every candidate pair that is a link.
+
+    members: bucket, node, chunks, chunk. A round aligns one forest per block, the next ones more, so
+    even blocks full of pairs just under the threshold take few rounds.
+    """
+    joined = aligned = None
+    depth = 1
     while True:
-        pairs, many = compared(buckets, most)
-        if paths:
-            pairs = pairs.join(links().select("a", "b"), ["a", "b"], "left_anti")
-        paths.append(scratch(spark, "links"))
-        checked(pairs, texts).write.option("compression", "zstd").parquet(paths[-1])
-        found = links().where("linked").select("a", "b")
+        rooted = nodes.withColumn("root", F.col("node")) if joined is None else nodes.join(joined, "node", "left").withColumn(
+            "root", F.coalesce("root", "node"))
+        found = staged(asked(members, rooted, aligned, depth), "asked")
+        pairs = found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        now = staged(checked(pairs, texts), "aligned")
+        links = now.where("linked").select("a", "b")
+        if joined is not None:
+            for end in ("a", "b"):
+                links = links.join(joined.select(F.col("node").alias(end), F.col("root").alias("to")), end, "left").withColumn(
+                    end, F.coalesce("to", end)).drop("to")
+        new = staged(components(links), "joined")
         if joined is None:
-            joined = staged(components(found), "joined")
-        mine, its = joined.select("node", "root"), joined.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-        apart = (many.where("node <> hub").join(mine, "node", "left").join(its, "hub", "left")
-                 .where(F.coalesce("root", "node") != F.coalesce("hub_root", "hub"))
-                 .join(found, (F.least("node", "hub") == F.col("a")) & (F.greatest("node", "hub") == F.col("b")), "left_anti")
-                 .select("bucket", "last", "node", "score"))
-        again = F.transform(F.sequence(F.lit(1), F.lit(ahead)), lambda d: ((F.col("last") + d) % SKETCHES).cast("int"))
-        dealt = staged(apart.join(bands, "node").select(
-            "bucket", "node", "score", "bands", F.explode(again).alias("last")).select(
-            F.xxhash64("bucket", F.get("bands", F.col("last"))).alias("bucket"), "last", "node", "score"), "dealt")
-        crowded = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        buckets, ahead, most = staged(dealt.join(crowded, "bucket"), "residue"), 1, DEEP_PAIRS
-        if not buckets.limit(1).count():
-            return joined if len(paths) == 1 else components(found)
+            joined = new
+        else:
+            moved = joined.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+            joined = staged(moved.select("node", F.coalesce("to", "root").alias("root")).unionByName(
+                new.join(joined, "node", "left_anti").select("node", "root")), "joined")
+        aligned = now.select("a", "b") if aligned is None else aligned.unionByName(now.select("a", "b"))
+        more = found.where("a IS NULL").select("bucket").distinct()
+        members, depth = staged(members.join(more, "bucket", "left_semi"), "crowded"), depth * 4
+        if not members.limit(1).count():
+            return joined
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, uid, class_id, representative): class_id is the class's least doc_id.
+    """(doc_id, uid, class_id, class_size, representative): class_id is the class's least doc_id.
 
     representative marks the rows of the class's least (doc_id, uid).
     """
     source = identified(docs)
     table = staged(arrow(source, _sketch, SKETCHED), "sketches")
-    nodes = table.groupBy("node").agg(F.min(F.struct("doc_id", "uid")).alias("at"), F.first("bands").alias("bands"))
-    rows = nodes.select("node", F.posexplode("bands").alias("last", "bucket"))
-    crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = staged(rows.join(crowded, "bucket"), "buckets")
-    score = shared.groupBy("node").agg(F.sum("n").alias("score"))
-    named = nodes.select("node", F.col("at.doc_id").alias("d"), F.col("at.uid").alias("u")).join(score, "node", "left_semi")
-    texts = staged(source.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("uid") == F.col("u")))
+    nodes = table.groupBy("node").agg(F.min(F.struct("doc_id", "uid")).alias("at"), F.first(
+        F.struct("bands", "size", "parity")).alias("of")).select("node", "at", "of.*")
+    rows = nodes.select("node", F.explode("bands").alias("bucket"))
+    chunks = F.ceil(F.sqrt(F.col("n") / BLOCK)).cast("int")
+    crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", chunks.alias("chunks"))
+    members = staged(rows.join(crowded, "bucket").withColumn(
+        "chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "members")
+    met = members.select("node").distinct()
+    named = staged(nodes.join(met, "node", "left_semi").select(
+        "node", "size", "parity", F.col("at.doc_id").alias("d"), F.col("at.uid").alias("u")), "nodes")
+    texts = staged(source.join(named.select("node", "d", "u"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("uid") == F.col("u")))
                    .select("node", "text").dropDuplicates(["node"]), "texts")
-    bands = staged(nodes.select("node", "bands").join(score, "node", "left_semi"), "bands")
-    joined = linked_classes(shared.join(score, "node").select("bucket", "last", "node", "score"), bands, texts)
+    joined = linked_classes(members, named.select("node", "size", "parity"), texts)
     placed = table.select("doc_id", "uid", "node").join(joined, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
     heads = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"),
@@ -275,14 +435,13 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each class, with the input's columns."""
-    kept = (classes(docs).where("representative").select(F.col("doc_id").alias("_doc"), F.col("uid").alias("_uid"))
-            .distinct())
-    marked = docs.withColumn("_text_uid", F.xxhash64("doc_id", "text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_uid") == F.col("_uid"))
-    out = marked.join(kept, same, "left_semi")
-    # rows alike in doc_id and text are one document
-    return out.withColumn("_doc", F.coalesce(F.col("doc_id"), F.lit(0))).dropDuplicates(["_doc", "_text_uid"]).select(*docs.columns)
+    """One document of each class, with the input's columns; rows alike in doc_id and text are one."""
+    doc, uid, mine = fresh(docs, "doc", "uid", "mine")
+    kept = (classes(docs).where("representative").select(F.col("doc_id").alias(doc), F.col("uid").alias(uid)).distinct())
+    marked = docs.withColumn(mine, F.xxhash64("doc_id", "text"))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(mine) == F.col(uid))
+    out = marked.join(kept, same, "left_semi").withColumn(doc, F.coalesce(F.col("doc_id"), F.lit(0)))
+    return out.dropDuplicates([doc, mine]).select(*docs.columns)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
