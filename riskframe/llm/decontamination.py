@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskframe.llm import text as T
 from riskframe.llm.fm_index import FMIndex
-from riskframe.llm.stage import arrow, identified, staged
+from riskframe.llm.stage import arrow, fresh, identified, staged
 
 WINDOW = 10
 #: Benchmark text sent to the executors at once; a larger benchmark takes more passes.
@@ -242,25 +242,25 @@ def _cleaner(block):
 
 def cut(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All documents without the words of their merged spans and what stands between those."""
+    doc, uid, mine, starts, ends = fresh(docs, "doc", "uid", "mine", "starts", "ends")
     spans = contaminated_spans(docs, benchmark)
     hits = (spans.where(F.size("starts") > 0).select(
-        F.col("doc_id").alias("_hit_doc"), F.col("uid").alias("_hit_uid"), F.col("starts").alias("_starts"),
-        F.col("ends").alias("_ends")).dropDuplicates(["_hit_doc", "_hit_uid"]))
-    marked = docs.withColumn("_text_uid", F.xxhash64("doc_id", "text"))
-    joined = marked.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit_doc"))
-                         & (F.col("_text_uid") == F.col("_hit_uid")), "left")
+        F.col("doc_id").alias(doc), F.col("uid").alias(uid), F.col("starts").alias(starts),
+        F.col("ends").alias(ends)).dropDuplicates([doc, uid]))
+    marked = docs.withColumn(mine, F.xxhash64("doc_id", "text"))
+    joined = marked.join(hits, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(mine) == F.col(uid)), "left")
     names = docs.columns
 
     def trim(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for i, (s, e) in enumerate(zip(batch.column("_starts").to_pylist(), batch.column("_ends").to_pylist())):
+            for i, (s, e) in enumerate(zip(batch.column(starts).to_pylist(), batch.column(ends).to_pylist())):
                 if s:
                     texts[i] = cut_words(texts[i], s, e)
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return arrow(joined.select(*names, "_starts", "_ends"), trim, docs.schema)
+    return arrow(joined.select(*names, starts, ends), trim, docs.schema)
 
 
 def cut_words(body: str, starts: list[int], ends: list[int]) -> str:

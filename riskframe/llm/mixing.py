@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from riskframe.llm.stage import staged
+from riskframe.llm.stage import fresh, staged
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
@@ -88,16 +88,16 @@ def copies(rows: DataFrame, goal: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """The mix itself: every taken document once per copy, with the input's columns."""
     rows = sized(docs)
-    taken = staged(copies(rows, targets(rows, share)).groupBy(F.col("doc_id").alias("_doc"), F.col("uid").alias("_uid"))
-                   .agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows"))
-                   .where("_copies > 0"), "copies")
-    marked = docs.withColumn("_text_uid", F.xxhash64("doc_id", "text"))
-    once = marked.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_uid") == F.col("_uid")))
-    if taken.where("_rows > 1").limit(1).count():    # rows alike in doc_id and text share their copies
-        key = F.coalesce(F.col("doc_id"), F.lit(0))
-        alike = once.where("_rows > 1").withColumn("_key", key).dropDuplicates(["_key", "_text_uid"]).drop("_key")
-        once = once.where("_rows = 1").unionByName(alike)
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    doc, uid, mine, times, alike, nth = fresh(docs, "doc", "uid", "mine", "times", "alike", "nth")
+    taken = staged(copies(rows, targets(rows, share)).groupBy(F.col("doc_id").alias(doc), F.col("uid").alias(uid))
+                   .agg(F.sum("copies").cast("int").alias(times), F.count("*").alias(alike))
+                   .where(F.col(times) > 0), "copies")
+    marked = docs.withColumn(mine, F.xxhash64("doc_id", "text"))
+    once = marked.join(taken, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(mine) == F.col(uid)))
+    if taken.where(F.col(alike) > 1).limit(1).count():    # rows alike in doc_id and text share their copies
+        several = once.where(F.col(alike) > 1).withColumn(doc, F.coalesce(F.col("doc_id"), F.lit(0))).dropDuplicates([doc, mine])
+        once = once.where(F.col(alike) == 1).unionByName(several)
+    return once.withColumn(nth, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -24,6 +24,10 @@ from riskframe.llm.stage import arrow, identified, staged
 INDEX_BYTES = 4 << 20
 #: A key with more distinct content than this is dealt out window by window.
 KEY_BYTES = 8 << 20
+#: A longer text is cut in pieces of so many bytes that share a window less one unit.
+PIECE_BYTES = T.CHUNK
+#: Window hashes or window contents in a batch.
+BATCH, BATCH_BYTES = 1 << 18, 16 << 20
 
 Index = Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
 
@@ -47,6 +51,36 @@ class Scheme:
         starts, ends, first = T.words(data, offsets, T.SOLID)
         return T.word_codes(data, starts, ends), first
 
+    def pieces(self, data: np.ndarray, offsets: np.ndarray, limit: int):
+        """(bytes, offsets, first unit): a chunk as it is, or overlapping pieces of one long text.
+
+        Equal windows need not lie in equal segments, so a cut through a segment loses nothing.
+        """
+        if len(offsets) != 2 or len(data) <= limit:
+            yield data, offsets, 0
+            return
+        if self.by_word:
+            starts, ends, _ = T.words(data, offsets, T.SOLID)
+        n = len(starts) if self.by_word else len(data)
+        at = 0
+        while at < n:
+            if self.by_word:
+                stop = int(np.searchsorted(ends, starts[at] + limit, side="right"))
+            else:
+                stop = at + limit
+            stop = min(n, max(stop, at + 2 * self.window))
+            body = data[starts[at]:ends[stop - 1]] if self.by_word else data[at:stop]
+            yield body, np.array([0, len(body)]), at
+            if stop == n:
+                return
+            at = stop - self.window + 1
+
+    def hashes(self, content: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of every window of one segment."""
+        data = np.frombuffer(content, np.uint8)
+        codes, _ = self.units(data, np.array([0, len(data)]))
+        return T.Rolling(codes).all(self.window), T.Rolling(T.mix(codes)).all(self.window)
+
     def runs(self, data: np.ndarray, offsets: np.ndarray):
         """Segments: key, row, first window within the text, windows, and if its key recurs inside."""
         codes, first = self.units(data, offsets)
@@ -75,75 +109,122 @@ class Scheme:
         return low[start], row, start - first[row], stop - start, inner | (stop - start > self.span)
 
 
-def _keys(scheme: Scheme):
+def _keys(scheme: Scheme, limit: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid = batch.column("uid").to_numpy(zero_copy_only=False)
-            for first, _, data, offsets in T.chunks(batch.column("text")):
-                key, row, _, _, inner = scheme.runs(data, offsets)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(uid[first + row]),
-                     pa.array(1 + inner.astype(np.int64))], ["key", "uid", "places"])
+            for first, _, chunk, places in T.chunks(batch.column("text")):
+                for data, offsets, _ in scheme.pieces(chunk, places, limit):
+                    key, row, _, _, inner = scheme.runs(data, offsets)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.view(np.int64)), pa.array(uid[first + row]),
+                         pa.array(1 + inner.astype(np.int64))], ["key", "uid", "places"])
     return scan
 
 
 CUT = ("key bigint, content binary, doc_id bigint, uid bigint, first bigint, windows bigint")
 
 
-def _cut(scheme: Scheme):
+def _cut(scheme: Scheme, limit: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column("keys")
             lists = wanted.offsets.to_numpy()
             values = wanted.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for begin, n, data, offsets in T.chunks(batch.column("text")):
-                key, row, first, windows, _ = scheme.runs(data, offsets)
+            for begin, n, chunk, places in T.chunks(batch.column("text")):
                 place = lists[begin:begin + n + 1].astype(np.int64)
                 owner = np.repeat(np.arange(n), np.diff(place)).astype(np.uint64)
                 pairs = values[place[0]:place[-1]] ^ T.mix(owner + np.uint64(1))
-                mine = np.flatnonzero(np.isin(key ^ T.mix(row.astype(np.uint64) + np.uint64(1)), pairs))
-                content, last, units = [], -1, []
-                for i in mine.tolist():
-                    r = int(row[i])
-                    if r != last:
-                        body, last = data[offsets[r]:offsets[r + 1]].tobytes(), r
-                        units = body.split() if scheme.by_word else body
-                    piece = units[first[i]:first[i] + windows[i] + scheme.window - 1]
-                    content.append(b" ".join(piece) if scheme.by_word else piece)
+
+                def rows(key, content, row, first, windows):
+                    at = pa.array(begin + row)
+                    return pa.RecordBatch.from_arrays(
+                        [pa.array(key, pa.int64()), pa.array(content, pa.binary()), batch.column("doc_id").take(at),
+                         batch.column("uid").take(at), pa.array(first, pa.int64()), pa.array(windows, pa.int64())],
+                        ["key", "content", "doc_id", "uid", "first", "windows"])
+
+                touched = np.zeros(n, dtype=bool)
+                for data, offsets, shift in scheme.pieces(chunk, places, limit):
+                    key, row, first, windows, _ = scheme.runs(data, offsets)
+                    mine = np.flatnonzero(np.isin(key ^ T.mix(row.astype(np.uint64) + np.uint64(1)), pairs))
+                    touched[row[mine]] = True
+                    content, last, units = [], -1, []
+                    for i in mine.tolist():
+                        r = int(row[i])
+                        if r != last:
+                            body, last = data[offsets[r]:offsets[r + 1]].tobytes(), r
+                            units = body.split() if scheme.by_word else body
+                        piece = units[first[i]:first[i] + windows[i] + scheme.window - 1]
+                        content.append(b" ".join(piece) if scheme.by_word else piece)
+                    yield rows(key[mine].view(np.int64), content, row[mine], shift + first[mine], windows[mine])
                 # the text itself follows once, with no key, for the removal at the end
-                texts = np.unique(row[mine])
-                bodies = [data[offsets[r]:offsets[r + 1]].tobytes() for r in texts.tolist()]
-                rows = np.concatenate([row[mine], texts])
+                texts = np.flatnonzero(touched)
                 nothing = [None] * len(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[mine].view(np.int64).tolist() + nothing, pa.int64()),
-                     pa.array(content + bodies, pa.binary()),
-                     batch.column("doc_id").take(pa.array(begin + rows)),
-                     batch.column("uid").take(pa.array(begin + rows)),
-                     pa.array(first[mine].tolist() + nothing, pa.int64()),
-                     pa.array(windows[mine].tolist() + nothing, pa.int64())],
-                    ["key", "content", "doc_id", "uid", "first", "windows"])
+                yield rows(nothing, [chunk[places[r]:places[r + 1]].tobytes() for r in texts.tolist()], texts, nothing, nothing)
     return cut
 
 
-def _single(scheme: Scheme):
-    """Each window of a segment as a segment of its own, keyed by its whole content."""
-    def single(batches):
+PLACES = "one bigint, two bigint, key bigint, chash bigint, at bigint, n bigint"
+
+
+def _places(scheme: Scheme):
+    """Each distinct window of a segment by its two hashes, its first place there and how often it occurs."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                one, two = scheme.hashes(batch.column("content")[r].as_py())
+                _, at, n = np.unique(one ^ T.mix(two), return_index=True, return_counts=True)
+                key, chash, occ = (batch.column(c)[r].as_py() for c in ("key", "chash", "occ"))
+                for cut in range(0, len(at), BATCH):
+                    some = at[cut:cut + BATCH]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(one[some].view(np.int64)), pa.array(two[some].view(np.int64)),
+                         pa.array(np.full(len(some), key)), pa.array(np.full(len(some), chash)),
+                         pa.array(some), pa.array(n[cut:cut + BATCH] * occ)], ["one", "two", "key", "chash", "at", "n"])
+    return find
+
+
+def _windows(scheme: Scheme):
+    """The asked windows of a segment with their content, in batches of bounded size."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            key, chash, content, occ = zip(*rows)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(key, pa.int64()), pa.array(chash, pa.int64()), pa.array(content, pa.binary()),
+                 pa.array(occ, pa.int64())], ["key", "chash", "content", "occ"])
+
         for batch in batches:
-            parents, offset, content, occ = [], [], [], []
-            for r in batch.to_pylist():
-                units = r["content"].split(b" ") if scheme.by_word else r["content"]
-                for i in range(len(units) - scheme.window + 1):
-                    piece = units[i:i + scheme.window]
-                    content.append(b" ".join(piece) if scheme.by_word else bytes(piece))
-                    parents.append((r["key"], r["chash"]))
-                    offset.append(i)
-                    occ.append(r["occ"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in parents], pa.int64()), pa.array([p[1] for p in parents], pa.int64()),
-                 pa.array(offset, pa.int64()), pa.array(content, pa.binary()), pa.array(occ, pa.int64())],
-                ["key", "chash", "at", "content", "occ"])
-    return single
+            for r in range(batch.num_rows):
+                body = batch.column("content")[r].as_py()
+                units = body.split(b" ") if scheme.by_word else body
+                for asked in batch.column("asked")[r]:
+                    w = asked.as_py()
+                    piece = units[w["at"]:w["at"] + scheme.window]
+                    rows.append((w["one"], w["two"], b" ".join(piece) if scheme.by_word else piece, w["n"]))
+                    size += len(rows[-1][2])
+                    if size > BATCH_BYTES:
+                        yield packed()
+                        rows, size = [], 0
+        if rows:
+            yield packed()
+    return find
+
+
+def _flags(scheme: Scheme):
+    """Flags of the windows of a segment whose hashes are among the repeated ones."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags = []
+            for r in range(batch.num_rows):
+                one, _ = scheme.hashes(batch.column("content")[r].as_py())
+                again = batch.column("again")[r].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                flags.append(np.packbits(np.isin(one, again), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chash"), pa.array(flags, pa.binary())],
+                                             ["key", "chash", "flags"])
+    return find
 
 
 def _shard(index: Index):
@@ -188,12 +269,12 @@ def repeats(docs: DataFrame, scheme: Scheme, index: Index) -> tuple[DataFrame, D
     every text that holds a segment of a recurring key.
     """
     source = identified(docs)
-    rows = arrow(source, _keys(scheme), "key bigint, uid bigint, places bigint")
+    rows = arrow(source, _keys(scheme, PIECE_BYTES), "key bigint, uid bigint, places bigint")
     recurring = rows.groupBy("key").agg(F.sum("places").alias("n")).where("n >= 2").select("key")
     wanted = (rows.select("key", "uid").join(recurring, "key")
               .groupBy(F.col("uid").alias("of")).agg(F.collect_set("key").alias("keys")))
     chosen = source.join(wanted, F.col("uid") == F.col("of")).drop("of")
-    cut = staged(arrow(chosen, _cut(scheme), CUT), "segments")
+    cut = staged(arrow(chosen, _cut(scheme, PIECE_BYTES), CUT), "segments")
     segments = cut.where("key IS NOT NULL").withColumn("chash", F.xxhash64("content"))
     distinct = staged(segments.groupBy("key", "chash", "content").agg(F.count("*").alias("occ")), "distinct")
     flags = "key bigint, chash bigint, flags binary"
@@ -206,42 +287,49 @@ def repeats(docs: DataFrame, scheme: Scheme, index: Index) -> tuple[DataFrame, D
     found = indexed(distinct.join(heavy, "key", "left_anti"))
     if heavy.limit(1).count():
         found = found.unionByName(_heavy(distinct.join(heavy, "key", "left_semi"), scheme, indexed))
-    hits = (segments.select("key", "chash", "doc_id", "uid", "first").join(found, ["key", "chash"])
+    # rows alike in doc_id and text share their segments: once is enough
+    spots = segments.select("key", "chash", "doc_id", "uid", "first").distinct()
+    hits = (spots.join(found, ["key", "chash"])
             .groupBy("doc_id", "uid").agg(F.collect_list(F.struct("first", "flags")).alias("spans")))
     return hits, cut.where("key IS NULL").select("doc_id", "uid", "content").dropDuplicates(["doc_id", "uid"])
 
 
 def _heavy(rows: DataFrame, scheme: Scheme, indexed: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The same answer for keys of unbounded content: their windows are merged and dealt singly."""
-    singles = staged(arrow(rows.select("key", "chash", "content", "occ"), _single(scheme),
-                           "key bigint, chash bigint, at bigint, content binary, occ bigint"), "singles")
-    pieces = singles.groupBy(F.xxhash64("content").alias("key"), F.xxhash64(F.lit(7), "content").alias("chash"),
-                             "content").agg(F.sum("occ").alias("occ"))
-    good = indexed(pieces).select(F.col("key").alias("k"), F.col("chash").alias("c"))
-    hits = singles.join(good, (F.xxhash64("content") == F.col("k"))
-                        & (F.xxhash64(F.lit(7), "content") == F.col("c")))
-
-    def gather(batches):
-        for batch in batches:
-            packed = []
-            for places in batch.column("places").to_pylist():
-                mask = np.zeros(max(places) + 1, dtype=bool)
-                mask[places] = True
-                packed.append(np.packbits(mask, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("chash"), pa.array(packed, pa.binary())],
-                ["key", "chash", "flags"])
+    """The same answer for keys of unbounded content, whose windows are dealt out singly.
 
-    grouped = hits.groupBy("key", "chash").agg(F.collect_set("at").alias("places"))
-    return arrow(grouped, gather, "key bigint, chash bigint, flags binary")
+    Windows meet by two 64-bit hashes; only where two meet, one of them is sent with its content,
+    to be indexed like any other segment.
+    """
+    segments = staged(rows.select("key", "chash", "content", "occ"), "heavy")
+    places = staged(arrow(segments, _places(scheme), PLACES), "places")
+    met = places.groupBy("one", "two").agg(F.sum("n").alias("n"), F.min(F.struct("key", "chash", "at")).alias("of")).where("n > 1")
+    asked = met.groupBy("of.key", "of.chash").agg(F.collect_list(F.struct("of.at", "one", "two", "n")).alias("asked"))
+    pieces = arrow(segments.join(asked, ["key", "chash"]).select("content", "asked"), _windows(scheme),
+                   "key bigint, chash bigint, content binary, occ bigint")
+    good = indexed(pieces).select(F.col("key").alias("one"), F.col("chash").alias("two"))
+    again = places.join(good, ["one", "two"]).groupBy("key", "chash").agg(F.collect_list("one").alias("again"))
+    return arrow(segments.join(again, ["key", "chash"]).select("key", "chash", "content", "again"), _flags(scheme),
+                 "key bigint, chash bigint, flags binary")
 
 
 def covered_units(spans: list[dict], window: int, size: int) -> np.ndarray:
     """Units under any flagged window."""
-    starts = [s["first"] + np.flatnonzero(np.unpackbits(np.frombuffer(s["flags"], np.uint8), bitorder="little"))
-              for s in spans]
-    at = np.unique(np.concatenate(starts)) if starts else np.zeros(0, np.int64)
-    return T.covered(at, at + window, size)
+    starts, ends = [], []
+    for s in spans:      # runs of flagged windows, so that a long repetitive text takes little memory
+        flags = np.unpackbits(np.frombuffer(s["flags"], np.uint8), bitorder="little").view(np.int8)
+        edges = np.flatnonzero(np.diff(flags, prepend=0, append=0))
+        starts.append(s["first"] + edges[::2])
+        ends.append(s["first"] + edges[1::2] - 1 + window)
+    if not sum(map(len, starts)):
+        return np.zeros(size, dtype=bool)
+    starts, ends = np.concatenate(starts), np.concatenate(ends)
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    out = np.zeros(size, dtype=bool)
+    first = np.flatnonzero(np.append(True, starts[1:] > ends[:-1]))
+    for a, b in zip(starts[first].tolist(), ends[np.append(first[1:], len(ends)) - 1].tolist()):
+        out[a:b] = True
+    return out
 
 
 def sha(parts: bytes) -> str:

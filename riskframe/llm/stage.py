@@ -85,6 +85,8 @@ def returned() -> None:
     import ctypes
 
     import pyarrow as pa
+    from riskframe.llm import text
+    text.forget()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc alone has it
     if trim is not None:

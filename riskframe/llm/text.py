@@ -38,6 +38,11 @@ BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xA24BAED4963EE407)) | _
 _powers: list[np.ndarray] = []
 
 
+def forget() -> None:
+    """Let go of what is kept between calls."""
+    _powers.clear()
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
     if not _powers or len(_powers[0]) < n:

@@ -4,11 +4,15 @@ import random
 
 from pyspark.sql import types as Y
 
+# names that operators use inside, or used to
+INSIDE = ("uid", "key", "node", "starts", "content", "copies", "held", "n_words", "doc", "mine", "times", "ends", "nth", "place",
+          "_doc", "_text_uid", "_uid", "_copies", "_rows", "_hit_doc")
+EXTRA = len(INSIDE)
+
 SCHEMA = Y.StructType([
     Y.StructField("doc_id", Y.LongType()), Y.StructField("text", Y.StringType()), Y.StructField("lang", Y.StringType()),
     Y.StructField("source", Y.StringType()), Y.StructField("n_chars", Y.LongType()),
-    # names that operators use inside
-    *[Y.StructField(n, Y.StringType()) for n in ("uid", "key", "node", "starts", "content", "copies", "held", "n_words")]])
+    *[Y.StructField(n, Y.StringType()) for n in INSIDE]])
 
 SYLLABLES = "an the re ion ti er st ou ing ha ly ver sch ei ñ é ü ción tz".split()
 
@@ -34,7 +38,7 @@ def documents(seed=1):
     rows = [(i, t, ["en", "de", None][i % 3], [None, "b", "a", "a", "a"][i % 5], None if t is None else len(t)) for i, t in enumerate(texts)]
     rows += [rows[0], rows[0], (3, "another text of a doc_id that is there already", "en", "b", 1), (None, base[2], "en", "b", 1),
              (None, None, None, None, None)]
-    return [(*r, *["x"] * 8) for r in rows]
+    return [(*r, *["x"] * EXTRA) for r in rows]
 
 
 def frame(spark, rows):

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from corpus import documents, frame, ordered, pairs, prose
+from corpus import EXTRA, documents, frame, ordered, pairs, prose
 
 from riskframe.llm import license_scan as L, mixing as M, order_minhash as O, token_records as K, url_templates as U
 from riskframe.llm.components import components
@@ -35,20 +35,109 @@ def test_one_document_of_each_class_stays(spark, rows):
     assert O.deduplicated(frame(spark, [])).count() == 0
 
 
-def test_large_groups_need_no_pairs(spark):
-    """A group far beyond PAIRS is one class, found through its hub and the rounds after it."""
-    rng = random.Random(5)
-    words = prose(rng, 300, 0).split()
-    rows = []
-    for i in range(60):
-        w = list(words)
-        for _ in range(3):
-            w[rng.randrange(len(w))] = f"new{i}"
-        rows.append((i, " ".join(w)))
-    rows += [(100 + i, prose(rng, 300, 0)) for i in range(20)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["class_id"] for r in O.classes(docs).collect()}
-    assert got == O.reference(rows)
+def family(rng, members, changes, words=300):
+    base = prose(rng, words, 0).split()
+    out = []
+    for i in range(members):
+        w = list(base)
+        for c in range(changes):
+            w[rng.randrange(len(w))] = f"new{i}x{c}"
+        out.append(" ".join(w))
+    return out
+
+
+def all_pairs(rows):
+    """Classes and number of links by comparing all pairs with the operator's own measure of two texts."""
+    import pyarrow as pa
+    from riskframe.llm import text as T
+    data, offsets = T.layout(pa.array([t for _, t in rows]))
+    folded = T.LOWER[data]
+    starts, ends, first = T.words(folded, offsets, T.PLAIN)
+    codes = T.word_codes(folded, starts, ends)
+    words = [codes[a:b] for a, b in zip(first[:-1], first[1:])]
+    root, links = list(range(len(rows))), 0
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if O.similar(words[i], words[j]):
+                links += 1
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}, links
+
+
+@pytest.mark.parametrize("members, changes, seed", [(60, 3, 5), (60, 4, 6), (200, 4, 7), (200, 5, 8)])
+def test_families_lose_no_link(spark, members, changes, seed):
+    """Groups whose links are few and have no centre: the classes are those of all pairs."""
+    rng = random.Random(seed)
+    rows = [(i, t) for i, t in enumerate(family(rng, members, changes))] + [(1000 + i, prose(rng, 300, 0)) for i in range(20)]
+    got = {r["doc_id"]: r["class_id"] for r in O.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want, links = all_pairs(rows)
+    assert got == want and links > 10
+
+
+def test_blocks_ask_for_a_forest_of_all_near_pairs(monkeypatch):
+    """Blocks in pieces of few rows and pairs give the closest pairs between classes, each block for itself."""
+    import pyarrow as pa
+    for name, value in (("SLAB", 40), ("PIECE", 64), ("KEPT", 30)):
+        monkeypatch.setattr(O, name, value)
+    rng = np.random.default_rng(3)
+    rows, sets = [], {}
+    for bucket in range(12):
+        base = rng.integers(0, 1 << 62, 120).astype(np.uint64)
+        for m in range(int(rng.integers(2, 30))):
+            s = base.copy()
+            s[rng.choice(120, int(rng.integers(0, 18)), replace=False)] = rng.integers(0, 1 << 62, 1)[0] + np.arange(1).astype(np.uint64)
+            s = np.unique(s)
+            node = f"{bucket}-{m:02d}"
+            sets[node] = set(s.tolist())
+            parity, _ = O.parities(s, np.zeros(len(s), np.int64), np.array([len(s)]))
+            cross = bucket % 3 == 0
+            rows.append((bucket, 0, 1 if cross else 0, m % 2 if cross else 0, node, None, f"{bucket}-{m // 5}", len(s), parity.tobytes()))
+    gone = {("4-00", "4-01"), ("4-02", "4-07")} & {(a, b) for a in sets for b in sets}
+    rows += [(4, 0, 0, -1, a, b, None, 0, None) for a, b in gone]
+    rows.sort(key=lambda r: r[:5])
+    names = ["bucket", "i", "j", "side", "node", "other", "root", "size", "parity"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i:i + 23]), kinds)], names) for i in range(0, len(rows), 23)]
+    asked, more = set(), set()
+    for out in O._asked(1)(iter(batches)):
+        for b, x, y in zip(*[out.column(c).to_pylist() for c in ("bucket", "a", "b")]):
+            (more.add(b) if x is None else asked.add((b, min(x, y), max(x, y))))
+    for bucket in range(12):
+        members = [r for r in rows if r[0] == bucket and r[5] is None]
+        near = {}
+        for r in members:
+            for q in members:
+                if r[4] < q[4] and r[6] != q[6] and (r[3] != q[3] or r[2] == r[1]) and (r[4], q[4]) not in gone:
+                    x, y = sets[r[4]], sets[q[4]]
+                    if len(x & y) >= 0.8 * len(x | y):
+                        near[r[4], q[4]] = (r[6], q[6])
+        mine = {(a, b) for k, a, b in asked if k == bucket}
+        assert not mine & gone
+
+        def parts(pairs, ends):
+            root = {r[6]: r[6] for r in members}
+
+            def find(i):
+                while root[i] != i:
+                    i = root[i]
+                return i
+            for p in pairs:
+                a, b = ends(p)
+                root[find(a)] = find(b)
+            return {frozenset(k for k in root if find(k) == find(r)) for r in root}
+        of = {r[4]: r[6] for r in members}
+        # what is asked for spans all near pairs, and a block that kept some back says so
+        joint = parts(mine, lambda p: (of[p[0]], of[p[1]]))
+        for group in parts(near, near.get):
+            assert any(group <= j for j in joint)
+        assert len(mine) < len({r[6] for r in members})
+        assert bucket in more or set(near) <= mine
 
 
 def test_order_matters(spark):
@@ -126,7 +215,7 @@ def test_mix_of_every_case(spark, rows):
 def test_licenses_by_plain_scan(spark, rows):
     extra = [(900, "x\nlicensed  UNDER the Apache License, Version 2.0.\nMIT license and mit license"), (901, "under version the licensed Apache 2.0"),
              (902, "no " * 100 + "All rights reserved " + "no " * 100), (903, "rights all\nreserved")]
-    docs = frame(spark, rows + [(*e, None, None, None, *["x"] * 8) for e in extra])
+    docs = frame(spark, rows + [(*e, None, None, None, *["x"] * EXTRA) for e in extra])
     got = L.scan(docs).collect()
     assert len(got) == len(rows) + len(extra)
     templates = [(label, set(L.split(t))) for label, t in L.TEMPLATES]

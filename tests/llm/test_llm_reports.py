@@ -7,7 +7,7 @@ from itertools import permutations
 import numpy as np
 import pytest
 from compare import differences
-from corpus import documents, frame, prose
+from corpus import EXTRA, documents, frame, prose
 from hypothesis import given, settings, strategies as st
 
 from riskframe.llm import filter_audit as A, lexical_search as L, sharding as H
@@ -19,8 +19,8 @@ def folder(spark, tmp_path_factory):
     rng, path = random.Random(5), tmp_path_factory.mktemp("hard")
     rows = documents()
     more = [(100 + i, prose(rng, rng.randint(1, 90)) + rng.choice(["", " # ", " ABCDEFG"]), None, rng.choice(["a", "b", "", None]), 1,
-             *["x"] * 8) for i in range(150)]
-    more += [(400 + i, rows[2][1], None, rng.choice(["a", "c"]), 1, *["x"] * 8) for i in range(120)]
+             *["x"] * EXTRA) for i in range(150)]
+    more += [(400 + i, rows[2][1], None, rng.choice(["a", "c"]), 1, *["x"] * EXTRA) for i in range(120)]
     frame(spark, rows + more).write.parquet(f"{path}/documents.parquet")
     words = rows[4][1].split()
     bench = [(1, " ".join(words[5:30])), (2, rows[6][1][:200]), (2, rows[6][1][:200]), (3, None), (4, ""), (None, rows[9][1][:120]),

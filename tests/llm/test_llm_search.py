@@ -73,6 +73,31 @@ def test_substrings_by_brute_force(spark, rows, key_bytes, monkeypatch):
     assert ordered(B.deduplicated(docs).drop("kept").collect()) == ordered(B.reference(pairs(rows)))
 
 
+def test_long_runs_and_heavy_keys(spark, monkeypatch):
+    """Long repetitive texts in pieces, and runs of many lengths whose one key is dealt window by window."""
+    monkeypatch.setattr(S, "PIECE_BYTES", 3000)
+    monkeypatch.setattr(S, "KEY_BYTES", 20000)
+    rng = __import__("random").Random(8)
+    texts = ["a" * 9000, "ab " * 4000, " ".join(["word"] * 3000)] + ["b" * n for n in range(390, 690, 7)]
+    texts += [" ".join(["run"] * n) for n in range(30, 130, 3)] + [prose(rng, 1500), prose(rng, 40) + "b" * 450]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(500, texts[-2]), (0, texts[0]), (0, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert ordered(A.deduplicated(docs).drop("kept").collect()) == ordered(A.reference(rows))
+    assert ordered(B.deduplicated(docs).drop("kept").collect()) == ordered(B.reference(rows))
+
+
+@given(st.lists(st.tuples(st.integers(0, 40), st.lists(st.booleans(), min_size=1, max_size=30)), max_size=5), st.integers(1, 6))
+def test_covered_units(spans, window):
+    size = 80
+    want = [False] * size
+    for first, flags in spans:
+        for i, f in enumerate(flags):
+            if f:
+                want[first + i:first + i + window] = [True] * window
+    packed = [{"first": a, "flags": np.packbits(np.array(f), bitorder="little").tobytes()} for a, f in spans]
+    assert S.covered_units(packed, window, size).tolist() == want
+
+
 def test_kept_texts_are_real_outputs(spark, rows):
     docs = frame(spark, rows)
     for r in A.deduplicated(docs).where("n_removed > 0").collect():
