@@ -353,7 +353,8 @@ def _asked(depth: int):
 def asked(members: DataFrame, nodes: DataFrame, aligned: DataFrame | None, depth: int) -> DataFrame:
     """(bucket, a, b): pairs to align next; a bucket that will ask again has one row without a pair.
 
-    members: bucket, node, chunks, chunk; nodes: node, root, size, parity; aligned: a, b.
+    members: bucket, node, chunks, chunk; nodes: node, root, size, parity; aligned: a, b, pairs found
+    to be no links.
     """
     spread = F.sequence(F.lit(0), F.col("chunks") - 1)
     rows = members.select("bucket", "node", "chunk", F.explode(spread).alias("with")).select(
@@ -398,7 +399,9 @@ def linked_classes(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> Da
             moved = joined.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
             joined = staged(moved.select("node", F.coalesce("to", "root").alias("root")).unionByName(
                 new.join(joined, "node", "left_anti").select("node", "root")), "joined")
-        aligned = now.select("a", "b") if aligned is None else aligned.unionByName(now.select("a", "b"))
+        # linked pairs are of one class from now on; only the others must not be asked for again
+        apart = now.where("NOT linked").select("a", "b")
+        aligned = apart if aligned is None else aligned.unionByName(apart)
         more = found.where("a IS NULL").select("bucket").distinct()
         members, depth = staged(members.join(more, "bucket", "left_semi"), "crowded"), depth * 4
         if not members.limit(1).count():
