@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from riskframe.session import cut_lineage
@@ -61,6 +63,84 @@ def global_row_number(df: DataFrame, order: list[str], partitions: int | None =
             .drop("_part", "_offset"))
 
 
+#: Rows that are ranked together, about, when rows are dealt by a hash of their key.
+CELL_ROWS = 100_000
+
+
+def hashed_rank(df: DataFrame, by: str, key: str, name: str = "rank") -> DataFrame:
+    """Rank from 0 of every row within its ``by`` value, in the order of a hash of its key.
+
+    Rows are counted per class and range of the hash, so a rank is the count of the ranges
+    before plus a place inside the row's own range: no class is ordered in one task, and only
+    the counts, one row per range, are added up. The hash is MD5, which other engines have too.
+    Rows of equal class and key get ranks in no particular order; a null class is one class.
+    """
+    h, cell, n, ahead, place = (f"_{x}_{name}" for x in ("h", "cell", "n", "ahead", "place"))
+    digits = F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 15)
+    bits = min(40, max(6, round(log2(max(1, df.count() / CELL_ROWS)))))
+    rows = df.withColumn(h, F.conv(digits, 16, 10).cast("bigint")).withColumn(cell, F.shiftright(h, 60 - bits))
+    offsets = rows.groupBy(F.col(by).alias("_by"), F.col(cell).alias("_cell")).agg(F.count(F.lit(1)).alias(n))
+    before = W.partitionBy("_by").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    offsets = offsets.select("_by", "_cell", F.coalesce(F.sum(n).over(before), F.lit(0)).alias(ahead))
+    inside = W.partitionBy(by, cell).orderBy(h, key)
+    placed = rows.withColumn(place, F.row_number().over(inside) - 1)
+    return (placed.join(offsets, F.col(by).eqNullSafe(F.col("_by")) & (F.col(cell) == F.col("_cell")))
+            .withColumn(name, F.col(ahead) + F.col(place)).select(*df.columns, name))
+
+
+def column_quantiles(rows: DataFrame, columns: list[str], probabilities: list[float],
+                     accuracy: int = 10_000) -> DataFrame:
+    """Exact linear-interpolated quantiles of many columns: (variable, probability, quantile).
+
+    A mergeable sketch of each column gives splitters on both sides of the wanted place, by
+    count and not by value, so an outlier or a dominant value moves nothing. Rows below the
+    lower splitter are only counted; the values between the two, at most about
+    ``4 / accuracy`` of the rows, are counted by value and ordered. Columns whose splitters
+    missed the place are asked again with wider ones. Nulls are left out; a column without
+    values gives no row. ``rows`` is read once per round: pass a stored table.
+    """
+    spark, parts, left, slack = rows.sparkSession, [], list(columns), 2.0 / accuracy
+    while left:
+        edges = [(max(0.0, p - slack), min(1.0, p + slack)) for p in probabilities]
+        places = F.array(*[F.lit(x) for pair in edges for x in pair])
+        found = rows.agg(*[F.percentile_approx(c, places, accuracy).alias(f"q{i}") for i, c in enumerate(left)],
+                         *[F.count(c).alias(f"n{i}") for i, c in enumerate(left)]).first()
+        totals = {c: found[f"n{i}"] for i, c in enumerate(left)}
+        entries = []
+        for i, c in enumerate(left):
+            if not totals[c]:
+                continue
+            for j, p in enumerate(probabilities):
+                low, high = (None if e in (0.0, 1.0) else v for e, v in zip(edges[j], found[f"q{i}"][2 * j:2 * j + 2]))
+                value = F.col(c).cast("double")
+                keep = value.isNotNull() & (F.lit(True) if high is None else value <= high)
+                shown = value if low is None else F.when(value >= low, value)      # null stands for all below
+                entries.append(F.when(keep, F.struct(
+                    F.lit(c).alias("variable"), F.lit(float(p)).alias("probability"), F.lit(totals[c]).cast("bigint").alias("total"),
+                    shown.alias("value"))))
+        if not entries:
+            break
+        long = rows.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
+        counts = long.groupBy("variable", "probability", "total", "value").agg(F.count(F.lit(1)).alias("n"))
+        upto = (W.partitionBy("variable", "probability").orderBy(F.col("value").asc_nulls_first())
+                .rowsBetween(W.unboundedPreceding, W.currentRow))
+        position = F.col("probability") * (F.col("total") - 1)
+        at = counts.withColumn("last", F.sum("n").over(upto)).withColumn("first", F.col("last") - F.col("n") + 1)
+        picked = (at.where("value IS NOT NULL").withColumns({
+            "low": F.when((F.floor(position) + 1).between(F.col("first"), F.col("last")), F.col("value")),
+            "high": F.when((F.ceil(position) + 1).between(F.col("first"), F.col("last")), F.col("value")),
+            "weight": position - F.floor(position)})
+            .groupBy("variable", "probability").agg(F.max("low").alias("low"), F.max("high").alias("high"), F.max("weight").alias("weight"))
+            .where("low IS NOT NULL AND high IS NOT NULL")
+            .select("variable", "probability", (F.col("low") + (F.col("high") - F.col("low")) * F.col("weight")).alias("quantile")))
+        got = picked.collect()                    # one row per column and probability
+        done = {c for c in left if sum(r.variable == c for r in got) == len(probabilities)}
+        parts += [tuple(r) for r in got if r.variable in done]
+        left = [c for c in left if totals[c] and c not in done]
+        slack *= 8
+    return spark.createDataFrame(parts, "variable string, probability double, quantile double")
+
+
 def exact_quantiles(long: DataFrame, probabilities: list[float], *, group: str = "variable",
                     value: str = "value", buckets: int = 1000,
                     counted: bool = False) -> DataFrame:

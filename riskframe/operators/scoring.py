@@ -164,6 +164,19 @@ def domain_warning(pd: Column, limit: float) -> Column:
               " Manual review required.")))
 
 
+def rejected_documents(documents: DataFrame) -> DataFrame:
+    """(reference, errors): the documents that ``score_documents`` leaves out, and why.
+
+    Every document is either scored or rejected: errors are the broken clauses of the contract,
+    or the reason why its indicators cannot be computed.
+    """
+    checked = docs.validate(docs.with_defaults(documents))
+    broken = docs.invalid(checked).select("reference", "errors")
+    unmeasured = document_features(docs.valid(checked)).where("indicator_error IS NOT NULL").select(
+        "reference", F.array("indicator_error").alias("errors"))
+    return broken.unionByName(unmeasured)
+
+
 def score_documents(documents: DataFrame, card: Card,
                     metrics_row: dict | None = None) -> DataFrame:
     """Documents to score rows; documents that break the contract are left out.

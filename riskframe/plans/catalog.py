@@ -391,19 +391,20 @@ def imputation_values(spark, sf_dir):
 
 
 def imputation(train: DataFrame) -> DataFrame:
+    """The dataset is planned once: its training features are stored, and read by each round."""
     features = refdata.columns_with_role("feature")
     numeric = [c for c in features if refdata.DATA_TYPE[c] in ("numeric", "integer", "boolean")]
     other = [c for c in features if c not in numeric]
-
-    def long(names, kind):
-        return train.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("variable"), F.col(c).cast(kind).alias("value"))
-            for c in names])).alias("e")).select("e.*")
-
-    medians = ordered.exact_quantiles(long(numeric, "double"), [0.5]).select(
+    spark = train.sparkSession
+    folder = warehouse.scratch(spark, "imputation")
+    train.select(*[F.col(c).cast("double").alias(c) for c in numeric],
+                 *[F.col(c).cast("string").alias(c) for c in other]).write.parquet(folder)
+    stored = spark.read.parquet(folder)
+    medians = ordered.column_quantiles(stored.select(*numeric), numeric, [0.5]).select(
         "variable", F.col("quantile").alias("median"), F.lit(None).cast("string").alias("level"))
-    levels = ordered.most_frequent(long(other, "string")).select(
-        "variable", F.lit(None).cast("double").alias("median"), "level")
+    long = stored.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("variable"), F.col(c).alias("value")) for c in other])).alias("e")).select("e.*")
+    levels = ordered.most_frequent(long).select("variable", F.lit(None).cast("double").alias("median"), "level")
     return medians.unionByName(levels)
 
 
@@ -575,6 +576,13 @@ def oof_calibration(spark, sf_dir):
         "application_id", "raw_pd", "pd", F.lit(card.calibration).alias("calibration"))
 
 
+@query
+def stratified_folds(spark, sf_dir):
+    """The fold of every labelled training file: equal shares of both classes in each."""
+    train = modelling.default_rows(rows_of(spark, sf_dir), "train", []).select("application_id", "label").persist()
+    return modelling.with_folds(train).select("application_id", F.col("label").cast("int").alias("label"), "fold")
+
+
 @query
 def permutation_importance(spark, sf_dir):
     return modelling.permutation_importance(default_card(spark, sf_dir),
@@ -626,8 +634,28 @@ def max_amount_fitted(spark, sf_dir):
 @query
 def stream_score(spark, sf_dir):
     """Documents written as files, scored by the stream, read back."""
+    return flat_scores(spark.read.parquet(f"{_streamed(spark, sf_dir)}/out/scores"))
+
+
+@query
+def stream_rejects(spark, sf_dir):
+    """Documents that the stream turned away, each with its errors."""
+    rejects = spark.read.schema("reference string, errors array<string>, batch bigint").parquet(
+        f"{_streamed(spark, sf_dir)}/out/rejects")
+    return rejects.select("reference", F.array_join("errors", " / ").alias("errors"))
+
+
+@query
+def batch_rejects(spark, sf_dir):
+    """Documents that the batch score turns away, each with its errors."""
+    texts = documents.to_text(documents.assemble(tables(spark, sf_dir)))
+    return scoring.rejected_documents(documents.parse(texts)).select(
+        "reference", F.array_join("errors", " / ").alias("errors"))
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> str:
     folder = warehouse.scratch(spark, "stream")
     documents.assemble(tables(spark, sf_dir)).write.json(f"{folder}/in")
     streams.score_stream(spark, f"{folder}/in", default_card(spark, sf_dir),
                          f"{folder}/out", f"{folder}/state").awaitTermination()
-    return flat_scores(spark.read.parquet(f"{folder}/out"))
+    return folder

@@ -369,6 +369,11 @@ _add("imputation_values", " UNION ALL ".join(
     + [f"(SELECT '{c}', NULL, {c} FROM tr WHERE {c} IS NOT NULL GROUP BY {c} "
        f"ORDER BY count(*) DESC, {c} LIMIT 1)" for c in _LEVELS]), "v_dataset",
      extra={"tr": "SELECT * FROM v_dataset WHERE split = 'train'"})
+_add("stratified_folds", """
+SELECT application_id, CAST(default_flag AS INTEGER) AS label,
+  CAST((row_number() OVER (PARTITION BY default_flag
+    ORDER BY ('0x' || substr(md5(CAST(application_id AS VARCHAR)), 1, 15))::BIGINT, application_id) - 1) % 5 AS INTEGER) AS fold
+FROM tr WHERE default_flag IS NOT NULL""", "v_dataset", extra={"tr": "SELECT * FROM v_dataset WHERE split = 'train'"})
 _add("population_target", f"""
 SELECT split, CAST(approved AS INTEGER) AS approved, CAST(count(*) AS BIGINT) AS n,
   {rnd('CAST(sum(target) AS DOUBLE) / count(*)', 4)} AS default_rate

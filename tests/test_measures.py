@@ -171,3 +171,31 @@ def test_random_pick_is_reproducible(spark):
     first = sampling.random_pick(df, 5, seed=1).collect()
     assert first == sampling.random_pick(df.repartition(9), 5, seed=1).collect()
     assert first != sampling.random_pick(df, 5, seed=2).collect()
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 20])
+def test_quantiles_by_splitters(spark, accuracy):
+    """One huge outlier, a dominant value, ties, nulls and columns without values; any accuracy is exact."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    n = 3001
+    columns = {"normal": rng.normal(size=n).round(3), "outlier": np.append(rng.random(n - 1), 1e300),
+               "dominant": np.where(rng.random(n) < 0.7, 5.0, rng.normal(size=n)), "few": rng.integers(0, 2, n).astype(float)}
+    rows = [tuple(None if i % 7 == 3 and k == 0 else float(columns[c][i]) for k, c in enumerate(columns)) + (None,) for i in range(n)]
+    frame = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*columns, "nothing"]))
+    wanted = [0.0, 0.25, 0.5, 0.999, 1.0]
+    got = {(r.variable, r.probability): r.quantile
+           for r in ordered.column_quantiles(frame, [*columns, "nothing"], wanted, accuracy).collect()}
+    assert len(got) == len(columns) * len(wanted)
+    for k, c in enumerate(columns):
+        values = [r[k] for r in rows if r[k] is not None]
+        for p in wanted:
+            assert got[c, p] == pytest.approx(float(np.quantile(values, p)), rel=1e-12)
+
+
+def test_hashed_rank(spark):
+    rows = [(i, "ab"[i % 3 == 0] if i % 11 else None) for i in range(500)]
+    ranked = ordered.hashed_rank(spark.createDataFrame(rows, "id long, kind string"), "kind", "id").collect()
+    for kind in ("a", "b", None):
+        mine = [r["rank"] for r in ranked if r.kind == kind]
+        assert sorted(mine) == list(range(sum(k == kind for _, k in rows)))
