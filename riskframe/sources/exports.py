@@ -133,8 +133,48 @@ def write_batches(nested: DataFrame, folder: str, per_batch: int = sampling.PER_
      .repartition("batch").write.mode("overwrite").partitionBy("batch").json(folder))
 
 
-def read_rationales(spark: SparkSession, folder: str) -> DataFrame:
-    """Returned batches, without files older than the input they answer.
+#: Columns of the ledger of answer files that were taken.
+LEDGER = "stem string, written timestamp, digest string"
+
+
+def answer_files(spark: SparkSession, folder: str, ledger: str | None = None) -> DataFrame:
+    """(stem, file_number, written, digest, state) of every ``batch_NN_out.json``.
+
+    state is ``stale`` for a file older than the ``batch_NN_in.json`` it answers, ``seen`` for one
+    whose name and content the ledger has, ``fresh`` otherwise; an answer with no input twin is
+    not stale. A file that was written again with other content is fresh again.
+    """
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "batch_*_out.json").load(folder)
+             .select(F.regexp_extract("path", r"(batch_\d+)_out", 1).alias("stem"),
+                     F.col("modificationTime").alias("written"), F.sha2("content", 256).alias("digest")))
+    asked = _file_times(spark, f"{folder}/batch_*_in.json")
+    seen = read_ledger(spark, ledger).select("stem", "digest", F.lit(1).alias("known")).distinct()
+    stale = F.col("asked").isNotNull() & (F.col("written") < F.col("asked"))
+    return (files.join(asked, "stem", "left").join(seen, ["stem", "digest"], "left")
+            .select("stem", F.regexp_extract("stem", r"(\d+)", 1).cast("int").alias("file_number"), "written", "digest",
+                    F.when(stale, "stale").when(F.col("known").isNotNull(), "seen").otherwise("fresh").alias("state")))
+
+
+def read_ledger(spark: SparkSession, ledger: str | None) -> DataFrame:
+    if ledger is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return spark.read.schema(LEDGER).parquet(ledger)
+    return spark.createDataFrame([], LEDGER)
+
+
+def record_answers(files: DataFrame, ledger: str) -> None:
+    """Add the fresh files to the ledger; call it once their answers are safely loaded."""
+    files.where("state = 'fresh'").select("stem", "written", "digest").coalesce(1).write.mode("append").parquet(ledger)
+
+
+def file_summary(files: DataFrame) -> DataFrame:
+    """Files per state."""
+    return files.groupBy("state").agg(F.count(F.lit(1)).alias("files"))
+
+
+def read_rationales(spark: SparkSession, folder: str, ledger: str | None = None) -> DataFrame:
+    """Returned batches, without files older than the input they answer or already in the ledger.
 
     Files are ``batch_NN_out.json`` beside ``batch_NN_in.json``; an answer with no
     input twin is accepted. Gives reference, rationale, file_number, position.
@@ -142,17 +182,10 @@ def read_rationales(spark: SparkSession, folder: str) -> DataFrame:
     answers = (
         spark.read.schema("reference STRING, rationale STRING").option("multiLine", True)
         .json(f"{folder}/batch_*_out.json")
-        .select("reference", "rationale",
-                F.col("_metadata.file_name").alias("file"),
-                F.col("_metadata.file_modification_time").alias("written")))
-    answers = answers.withColumns({
-        "stem": F.regexp_extract("file", r"^(batch_\d+)_out", 1),
-        "file_number": F.regexp_extract("file", r"(\d+)", 1).cast("int"),
-        "position": F.monotonically_increasing_id()})
-    inputs = _file_times(spark, f"{folder}/batch_*_in.json")
-    fresh = (answers.join(F.broadcast(inputs), "stem", "left")
-             .where(F.col("asked").isNull() | (F.col("written") >= F.col("asked"))))
-    return fresh.select("reference", "rationale", "file_number", "position")
+        .select("reference", "rationale", F.monotonically_increasing_id().alias("position"),
+                F.regexp_extract(F.col("_metadata.file_name"), r"^(batch_\d+)_out", 1).alias("stem")))
+    fresh = answer_files(spark, folder, ledger).where("state = 'fresh'").select("stem", "file_number")
+    return answers.join(fresh, "stem").select("reference", "rationale", "file_number", "position")
 
 
 def _file_times(spark: SparkSession, pattern: str) -> DataFrame:

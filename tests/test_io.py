@@ -67,6 +67,20 @@ def test_stale_batches_are_skipped(spark, tmp_path):
            for r in exports.read_rationales(spark, str(tmp_path)).collect()}
     assert got == {"A": ("é", 1), "C": ("no twin", 3), "D": ("two", 3)}
 
+    # a second run takes only what the first did not, whatever the times say
+    ledger = str(tmp_path / "ledger")
+    files = exports.answer_files(spark, str(tmp_path), ledger)
+    assert {r.state: r.files for r in exports.file_summary(files).collect()} == {"fresh": 2, "stale": 1}
+    exports.record_answers(files, ledger)
+    put("batch_03_out.json", [{"reference": "C", "rationale": "no twin"}, {"reference": "D", "rationale": "new"}], 600)
+    put("batch_04_out.json", [{"reference": "E", "rationale": "later"}], 700)
+    os.utime(tmp_path / "batch_01_out.json", (2500, 2500))
+    again = exports.answer_files(spark, str(tmp_path), ledger)
+    assert {r.stem: r.state for r in again.collect()} == {
+        "batch_01": "seen", "batch_02": "stale", "batch_03": "fresh", "batch_04": "fresh"}
+    got = {r.reference: r.rationale for r in exports.read_rationales(spark, str(tmp_path), ledger).collect()}
+    assert got == {"C": "no twin", "D": "new", "E": "later"}
+
 
 def test_rebuild_modes(spark, tiny, tmp_path):
     first = storage.rebuild(spark, str(tmp_path), lambda n: tiny[n].limit(5), overwrite=True)
