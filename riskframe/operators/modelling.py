@@ -7,8 +7,7 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (OneHotEncoder, SQLTransformer, StandardScaler,
                                 StringIndexer, StringIndexerModel, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
@@ -16,7 +15,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from riskframe.functions.numeric import round_to
-from riskframe.operators import bias, metrics, ordered
+from riskframe.operators import bias, boosting, metrics, ordered
 from riskframe.sources import refdata
 
 KEY = "application_reference"
@@ -48,7 +47,9 @@ RARE_BELOW = 20
 AUC_GAIN_FOR_BOOSTING = 0.02
 BRIER_GAIN_FOR_CALIBRATION = 0.01
 FOLDS = 5
+ITERATIONS = 3000
 BOOSTING_ROUNDS, BOOSTING_STEP = 400, 0.06
+DEFAULT_ROUNDS, DEFAULT_STEP = 300, 0.1
 IMPORTANCE_REPEATS, IMPORTANCE_FLOOR, IMPORTANCE_TOP = 5, 0.0002, 15
 # -------------------------------------------------------------------------------------
 
@@ -206,7 +207,7 @@ def logistic(train: DataFrame, columns: list[str], c: float, name: str | None =
     try:
         total = train.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
         estimator = LogisticRegression(
-            featuresCol="features", labelCol=label, maxIter=300, regParam=1.0 / (c * float(total)),
+            featuresCol="features", labelCol=label, maxIter=ITERATIONS, regParam=1.0 / (c * float(total)),
             elasticNetParam=0.0, standardization=False)
         if weight:
             estimator.setWeightCol(weight)
@@ -216,12 +217,14 @@ def logistic(train: DataFrame, columns: list[str], c: float, name: str | None =
 
 
 def boosted(train: DataFrame, columns: list[str], depth: int, rounds: int = BOOSTING_ROUNDS,
-            name: str | None = None, label: str = "label") -> Card:
+            name: str | None = None, label: str = "label", early_stopping: bool | None = None) -> Card:
+    """Leaf-wise boosted trees on the same inputs as the linear cards (see ``boosting.fit``)."""
     train = train.persist()
     try:
-        return _fit(name or f"gb_depth{depth}", train, columns, GBTClassifier(
-            featuresCol="features", labelCol=label, maxDepth=depth, maxIter=rounds,
-            stepSize=BOOSTING_STEP, seed=0))
+        prepared = preprocessor(train, columns).fit(train)
+        vectors = prepared.transform(train).select("application_id", label, "features")
+        trees = boosting.fit(vectors, 2, rounds, BOOSTING_STEP, depth, early_stopping=early_stopping, label=label)
+        return Card(name or f"gb_depth{depth}", columns, PipelineModel(stages=prepared.stages + [trees]))
     finally:
         train.unpersist()
 
@@ -285,7 +288,7 @@ def choose(auc: dict[str, float], anomalies: dict[str, int]
 
 
 def select_card(rows: DataFrame, *, rounds: int = BOOSTING_ROUNDS,
-                with_boosting: bool = True) -> Selection:
+                with_boosting: bool = True, early_stopping: bool | None = None) -> Selection:
     """Fits the candidates on train, compares them on val, applies the sign rule."""
     spark = rows.sparkSession
     everything = refdata.columns_with_role("feature")
@@ -296,7 +299,8 @@ def select_card(rows: DataFrame, *, rounds: int = BOOSTING_ROUNDS,
     try:
         cards = {n: logistic(train, cols, c, n) for n, (cols, c) in plan.items()}
         if with_boosting:
-            cards |= {f"gb_depth{d}": boosted(train, everything, d, rounds) for d in (3, 6)}
+            cards |= {f"gb_depth{d}": boosted(train, everything, d, rounds, early_stopping=early_stopping)
+                      for d in (3, 6)}
         auc = {n: validation_auc(card, val) for n, card in cards.items()}
     finally:
         train.unpersist()
@@ -350,7 +354,7 @@ def fit_calibrators(oof: DataFrame) -> dict[str, object]:
     assembled = VectorAssembler(inputCols=["raw_pd"], outputCol="score_vector").transform(pair)
     platt = LogisticRegression(featuresCol="score_vector", labelCol="label", weightCol="weight",
                                regParam=1.0 / float(total), standardization=False,
-                               maxIter=100).fit(assembled)
+                               maxIter=ITERATIONS).fit(assembled)
     return {"none": None, "isotonic": isotonic, "platt": platt}
 
 
@@ -496,10 +500,14 @@ def decision_rows(rows: DataFrame, split: str, columns: list[str]) -> DataFrame:
                          F.col("decision_result").alias("actual"))
 
 
-def train_decision(rows: DataFrame, columns: list[str] | None = None, *, trees: int = 100,
-                   rounds: int = 100, with_boosting: bool = True
-                   ) -> tuple[DecisionModel, dict[str, float]]:
-    """Multi-class model of the decision: the candidate with the best validation accuracy."""
+def train_decision(rows: DataFrame, columns: list[str] | None = None, *,
+                   rounds: tuple[int, int] = (BOOSTING_ROUNDS, DEFAULT_ROUNDS), with_boosting: bool = True,
+                   early_stopping: bool | None = None) -> tuple[DecisionModel, dict[str, float]]:
+    """Multi-class model of the decision: the candidate with the best validation accuracy.
+
+    Boosted trees of depth 6, boosted trees bounded by their leaves alone, and a softmax
+    regression; equal accuracies go to the first of them.
+    """
     columns = columns or refdata.columns_with_role("feature")
     train = decision_rows(rows, "train", columns).persist()
     val = decision_rows(rows, "val", columns).persist()
@@ -507,20 +515,22 @@ def train_decision(rows: DataFrame, columns: list[str] | None = None, *, trees:
     index = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("actual")) - 1
     train_i = train.withColumn("label", index.cast("double")).persist()
     n = train_i.count()
-    candidates = {
-        "logistic": LogisticRegression(family="multinomial", maxIter=100,
-                                       regParam=1.0 / (0.5 * n), standardization=False),
-        "forest": RandomForestClassifier(numTrees=trees, maxDepth=10, seed=0)}
-    if with_boosting:
-        candidates["gb_one_vs_rest"] = OneVsRest(classifier=GBTClassifier(
-            maxDepth=6, maxIter=rounds, stepSize=BOOSTING_STEP, seed=0))
     # The inputs are prepared once; every candidate learns from the same vectors.
     prepared = preprocessor(train_i, columns).fit(train_i)
-    vectors = prepared.transform(train_i).select("features", "label").persist()
+    vectors = prepared.transform(train_i).select("application_id", "features", "label").persist()
+
+    def trees(count: int, step: float, depth: int | None):
+        return boosting.fit(vectors, len(labels), count, step, depth, early_stopping=early_stopping)
+
+    models = {}
+    if with_boosting:
+        models["gb_depth6"] = trees(rounds[0], BOOSTING_STEP, 6)
+        models["gb_default"] = trees(rounds[1], DEFAULT_STEP, None)
+    models["logistic"] = LogisticRegression(
+        family="multinomial", maxIter=ITERATIONS, regParam=1.0 / (0.5 * n), standardization=False).fit(vectors)
     fitted, scores = {}, {}
-    for name, estimator in candidates.items():
-        model = PipelineModel(stages=prepared.stages + [estimator.fit(vectors)])
-        fitted[name] = DecisionModel(name, columns, model, labels)
+    for name, model in models.items():
+        fitted[name] = DecisionModel(name, columns, PipelineModel(stages=prepared.stages + [model]), labels)
         scores[name] = metrics.accuracy(fitted[name].predict(val)).first()["accuracy"]
     for frame in (train, val, train_i, vectors):
         frame.unpersist()

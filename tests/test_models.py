@@ -136,6 +136,17 @@ def test_save_and_load(spark, card, test_frame, tmp_path):
     assert ours.exceptAll(theirs).count() == 0
 
 
+def test_boosted_card(spark, train, test_frame, tmp_path):
+    """A card of trees scores, explains itself by permutation and survives its folder."""
+    few = modelling.boosted(train, modelling.SCORECARD_VARIABLES, 3, rounds=4)
+    assert not few.linear and modelling.validation_auc(few, test_frame) > 0.55
+    modelling.save_card(few, str(tmp_path))
+    back = modelling.load_card(spark, str(tmp_path))
+    assert back.fingerprint() == few.fingerprint()
+    ours = few.transform(test_frame).select("application_id", "pd")
+    assert ours.exceptAll(back.transform(test_frame).select("application_id", "pd")).count() == 0
+
+
 def test_stream_equals_batch(spark, card, tiny, tmp_path):
     documents.assemble(tiny).repartition(6).write.json(str(tmp_path / "in"))
     args = (spark, str(tmp_path / "in"), card, str(tmp_path / "out"), str(tmp_path / "state"))
@@ -178,8 +189,9 @@ def test_sizing_with_the_fitted_card(spark, card, tiny):
 def test_score_dataset(spark, card, rows):
     model, scores = modelling.train_decision(rows, ["dti_after_pct", "ficp_flagged",
                                                     "residual_income_per_cu", "loan_type"],
-                                             trees=5, with_boosting=False)
-    assert set(scores) == {"logistic", "forest"}
+                                             rounds=(3, 2))
+    assert set(scores) == {"gb_depth6", "gb_default", "logistic"}
+    assert scores[model.name] == max(scores.values())
     wanted = rows.where("split = 'test'").select("application_reference").limit(20)
     got = scoring.score_dataset(rows, card, model, wanted.persist()).collect()
     assert len(got) == 20
