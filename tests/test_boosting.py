@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from riskframe.operators import boosting
+from riskframe.operators import boosting, modelling
 from riskframe.operators.boosting import MIN_HESSIAN, MIN_ROWS, UNITS
 
 
@@ -128,3 +128,20 @@ def test_save_and_load(spark, tmp_path):
     back = boosting.HistogramBoostingModel.load(str(tmp_path / "m"))
     assert back.toDebugString == model.toDebugString
     assert back.transform(df).exceptAll(model.transform(df)).count() == 0
+
+
+def test_card_of_trees(spark, tmp_path):
+    """A boosted card scores rows with missing and unseen inputs and survives its folder."""
+    rows = spark.range(400).select(
+        F.col("id").alias("application_id"), F.when(F.col("id") % 7 > 0, F.col("id") % 90).cast("double").alias("dti_after_pct"),
+        F.element_at(F.array(F.lit("AUTO"), F.lit("HOME")), (F.col("id") % 2 + 1).cast("int")).alias("loan_type"),
+        (F.col("id") % 90 > 60).cast("double").alias("label"))
+    card = modelling.boosted(rows, ["dti_after_pct", "loan_type"], 3, rounds=3)
+    assert not card.linear
+    modelling.save_card(card, str(tmp_path))
+    back = modelling.load_card(spark, str(tmp_path))
+    assert back.fingerprint() == card.fingerprint()
+    odd = rows.withColumn("loan_type", F.when(F.col("application_id") > 200, F.lit("BOAT")))
+    ours = {r.application_id: r.pd for r in card.transform(odd).select("application_id", "pd").collect()}
+    theirs = {r.application_id: r.pd for r in back.transform(odd).select("application_id", "pd").collect()}
+    assert ours == theirs and len(ours) == 400 and ours[80] > ours[15]
