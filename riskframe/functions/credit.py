@@ -193,6 +193,9 @@ def expert_points(c=F.col) -> list[tuple[str, Column]]:
 
 
 EXPERT_INTERCEPT = -3.05
+EXPERT_INPUTS = ["dti_after_pct", "residual_income_per_cu", "contract_stability", "ficp_flagged", "rejected_debits_12m",
+                 "days_overdrawn_12m", "revolving_loans", "savings_months_of_expenses", "loans_repaid_clean",
+                 "has_co_borrower", "months_in_job"]
 
 
 def logistic(z: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -16,7 +17,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from riskframe.functions.numeric import round_to
-from riskframe.operators import bias, boosting, metrics, ordered
+from riskframe.operators import bias, boosting, metrics, ordered, permute
+from riskframe.session import cut_lineage
 from riskframe.sources import refdata
 
 KEY = "application_reference"
@@ -386,24 +388,6 @@ def calibrate(card: Card, oof: DataFrame, val: DataFrame) -> tuple[Card, dict[st
 
 
 # ---- importance ---------------------------------------------------------------------------------
-def with_donors(rows: DataFrame, columns: list[str], seed: int,
-                key: str = "application_id", blocks: int = 256) -> DataFrame:
-    """Adds ``donor``: the inputs of another random row.
-
-    Rows fall into random blocks and take the values of the next row in a random
-    order of their block, the last one those of the first: a permutation of the
-    whole table that needs one exchange and no global order.
-    """
-    block = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(blocks))
-    mixed = rows.withColumns({"_block": block, "_order": F.xxhash64(F.lit(seed), F.col(key))})
-    window = W.partitionBy("_block").orderBy("_order", key)
-    whole = window.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    values = F.struct(*columns)
-    following = F.lead(values).over(window)
-    return mixed.withColumn("donor", F.coalesce(following, F.first(values).over(whole))) \
-        .drop("_block", "_order")
-
-
 def variable_contributions(card: Card) -> Column:
     """Per input variable, its part of the logit; a category's levels are added up."""
     coefficients = [v for _, v in card.coefficients()]
@@ -427,49 +411,54 @@ def _labels(card: Card) -> list[list[str]]:
     return []
 
 
-def _swapped_linear(card: Card, rows: DataFrame, seed: int) -> DataFrame:
-    """(variable, pd, y) with one variable's logit part taken from the donor row."""
+def _swapped_linear(card: Card, rows: DataFrame, repeats: int) -> DataFrame:
+    """(variable, repeat, pd, y) with one variable's logit part taken from the donor row."""
     intercept = float(card.model.stages[-1].intercept)
-    parts = (card.model.transform(_cast_inputs(rows, card.columns))
-             .select("application_id", "label", variable_contributions(card).alias("parts")))
-    placed = with_donors(parts, ["parts"], seed)
+    parts = cut_lineage(card.model.transform(_cast_inputs(rows, card.columns))
+                        .select("application_id", "label", variable_contributions(card).alias("parts")))
+    placed = permute.with_donors(parts, ["parts"], repeats)
     margin = F.aggregate("parts", F.lit(intercept), lambda total, x: total + x)
     names = numeric_of(card.columns) + categorical_of(card.columns)
     moved = F.zip_with("parts", "donor.parts", lambda own, other: other - own)
     return (
-        placed.select("label", margin.alias("margin"), F.posexplode(moved).alias("at", "change"))
+        placed.select("label", "repeat", margin.alias("margin"), F.posexplode(moved).alias("at", "change"))
         .select(F.element_at(F.array(*[F.lit(n) for n in names]), F.col("at") + 1)
-                .alias("variable"),
+                .alias("variable"), "repeat",
                 round_to(1.0 / (1.0 + F.exp(-(F.col("margin") + F.col("change")))), 6).alias("pd"),
                 F.col("label").alias("y")))
 
 
-def _swapped_any(card: Card, rows: DataFrame, seed: int) -> DataFrame:
-    """The same for a card without coefficients: every variant is scored again."""
-    placed = with_donors(rows, card.columns, seed)
-    long = placed.withColumn("variable", F.explode(F.array(*[F.lit(c) for c in card.columns])))
+def swapped_inputs(rows: DataFrame, columns: list[str], score: Callable[[DataFrame], DataFrame],
+                   repeats: int, label: str = "label") -> DataFrame:
+    """The same for any score that adds ``pd``: every variant is scored again."""
+    stored = cut_lineage(rows.select("application_id", label, *columns))
+    long = permute.with_donors(stored, columns, repeats).withColumn(
+        "variable", F.explode(F.array(*[F.lit(c) for c in columns])))
     swapped = long.withColumns({
         c: F.when(F.col("variable") == c, F.col(f"donor.{c}")).otherwise(F.col(c))
-        for c in card.columns}).drop("donor")
-    return card.transform(swapped).select(
-        "variable", F.col("raw_pd").alias("pd"), F.col("label").alias("y"))
+        for c in columns}).drop("donor")
+    return score(swapped).select("variable", "repeat", "pd", F.col(label).alias("y"))
+
+
+def mean_loss(base: float, swapped: DataFrame) -> DataFrame:
+    """(variable, importance): the AUC lost on the average of the repeats."""
+    return (metrics.metrics(swapped, ["variable", "repeat"])
+            .groupBy("variable")
+            .agg(round_to(F.avg(F.lit(base) - F.col("auc")), 6).alias("importance")))
 
 
 def permutation_importance(card: Card, rows: DataFrame,
                            repeats: int = IMPORTANCE_REPEATS) -> DataFrame:
     """(variable, importance): mean loss of AUC when one input is shuffled.
 
-    Each repeat shuffles the table once for all variables, and all AUCs come from
-    one grouped measurement. A linear card only swaps parts of its logit; the rows
-    are not encoded again.
+    Rows are encoded and stored once; all repeats and variables come from one join with the
+    donors and one grouped measurement. A linear card only swaps parts of its logit.
     """
     base = validation_auc(card, rows)
-    swap = _swapped_linear if card.linear else _swapped_any
-    long = union_rows([swap(card, rows, seed).withColumn("repeat", F.lit(seed))
-                       for seed in range(repeats)])
-    return (metrics.metrics(long, ["variable", "repeat"])
-            .groupBy("variable")
-            .agg(round_to(F.avg(F.lit(base) - F.col("auc")), 6).alias("importance")))
+    if card.linear:
+        return mean_loss(base, _swapped_linear(card, rows, repeats))
+    return mean_loss(base, swapped_inputs(
+        rows, card.columns, lambda long: card.transform(long).withColumn("pd", F.col("raw_pd")), repeats))
 
 
 def top_drivers(importance: DataFrame) -> DataFrame:

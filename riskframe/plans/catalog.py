@@ -589,6 +589,16 @@ def permutation_importance(spark, sf_dir):
                                             test_rows(spark, sf_dir))
 
 
+@query
+def importance_expert(spark, sf_dir):
+    """Mean loss of AUC of the expert card on test when one of its inputs is shuffled."""
+    rows = labelled_scores(spark, sf_dir).where("split = 'test'")
+    base = metrics.metrics(rows).first()["auc"]
+    return modelling.mean_loss(base, modelling.swapped_inputs(
+        rows, credit.EXPERT_INPUTS, lambda long: long.withColumn("pd", credit.expert_pd()),
+        modelling.IMPORTANCE_REPEATS, "y"))
+
+
 @query
 def decision_model(spark, sf_dir):
     """Per-class report of the decision model on test."""

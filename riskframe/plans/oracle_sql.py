@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from riskframe.functions import credit
 from riskframe.operators import bias, sampling
 from riskframe.operators.dataset import COLUMNS
 from riskframe.operators.indicators import INDICATORS
@@ -316,6 +317,47 @@ SELECT split, {rnd('auc', 4)} AS auc, {rnd('2 * auc - 1', 4)} AS gini, {rnd('ks'
   {rnd('ap', 4)} AS average_precision, {rnd('brier', 5)} AS brier,
   {rnd('base_rate', 4)} AS base_rate FROM m""", "population",
      extra={**_LABELLED, **measure_ctes("split")})
+
+
+def _permuted(repeats: int) -> dict[str, str]:
+    """numbered, walk(repeat, number, step, x) and donors of s, by the keyed bijection."""
+    def turn(body: str, at: int) -> str:
+        moved, other, size = ("l", "r", "a") if at % 2 == 0 else ("r", "l", "b")
+        mixed = f"('0x' || substr(md5(repeat || '-{at}-' || {other}), 1, 15))::BIGINT"
+        return f"SELECT repeat, number, step, n, a, b, ({moved} + {mixed}) % {size} AS {moved}, {other} FROM ({body})"
+
+    body = "SELECT repeat, number, step, n, a, b, x // b AS l, x % b AS r FROM walk WHERE step = 0 OR x >= n"
+    for at in range(4):
+        body = turn(body, at)
+    return {
+        "numbered": "SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5(CAST(application_id AS VARCHAR)), 1, 15))::BIGINT, "
+                    "application_id) - 1 AS number FROM s",
+        "size": "SELECT n, a, (n + a - 1) // a AS b FROM (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a "
+                "FROM (SELECT count(*) AS n FROM s))",
+        "walk(repeat, number, step, n, a, b, x)": f"""
+SELECT repeat, number, 0, n, a, b, number FROM numbered, size, range({repeats}) k(repeat)
+UNION ALL SELECT repeat, number, step + 1, n, a, b, l * b + r FROM ({body})""",
+        "donors": "SELECT repeat, number, x AS donor FROM walk WHERE step > 0 AND x < n"}
+
+
+_IMPORTANCE = {
+    "s": "SELECT *, default_flag AS y FROM population WHERE default_flag IS NOT NULL AND split = 'test'",
+    **_permuted(5)}
+_SWAPPED = " UNION ALL ".join(
+    f"SELECT '{v}' AS variable, repeat, y, {o.expert_pd()} AS pd FROM (SELECT s.* EXCLUDE (pd) REPLACE (other.{v} AS {v}), "
+    "repeat FROM donors JOIN numbered s USING (number) JOIN numbered other ON other.number = donor)"
+    for v in credit.EXPERT_INPUTS)
+_add("importance_expert", f"""
+SELECT variable, {rnd('avg(base - auc)', 6)} AS importance
+FROM (SELECT variable, {rnd('auc', 4)} AS auc FROM m), (SELECT {rnd('auc', 4)} AS base FROM whole_m) GROUP BY variable""",
+     "population", extra={
+         **_IMPORTANCE,
+         **{f"whole_{k}": v.replace("FROM s ", "FROM (SELECT *, 0 AS one FROM s) ")
+            .replace("FROM g ", "FROM whole_g ").replace("FROM c ", "FROM whole_c ")
+            for k, v in measure_ctes("one").items()},
+         "swapped": _SWAPPED,
+         **{k: v.replace("FROM s ", "FROM swapped ") for k, v in measure_ctes("variable, repeat").items()}})
+ORACLES["importance_expert"] = ORACLES["importance_expert"].replace("WITH ", "WITH RECURSIVE ", 1)
 _add("score_bands", f"""
 SELECT 'D' || band AS band, n, defaults, {rnd('mean_pd', 4)} AS mean_pd,
   {rnd('rate', 4)} AS observed_rate, {rnd('abs(mean_pd - rate)', 4)} AS gap

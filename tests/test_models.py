@@ -113,20 +113,15 @@ def test_importance_ways_agree(card, test_frame):
     """The shortcut for linear cards gives what re-scoring every variant gives."""
     few = test_frame.limit(150).persist()
     shortcut = {r.variable: r for r in metrics.metrics(
-        modelling._swapped_linear(card, few, 0), ["variable"]).collect()}
-    full = {r.variable: r for r in metrics.metrics(
-        modelling._swapped_any(card, few, 0), ["variable"]).collect()}
+        modelling._swapped_linear(card, few, 1), ["variable"]).collect()}
+    scored = modelling.swapped_inputs(few, card.columns, lambda long: card.transform(long).withColumn(
+        "pd", F.col("raw_pd")), 1)
+    full = {r.variable: r for r in metrics.metrics(scored, ["variable"]).collect()}
     assert shortcut.keys() == full.keys() == set(card.columns)
     for name, row in full.items():
         assert row.auc == pytest.approx(shortcut[name].auc, abs=2e-4)
 
 
-def test_donors_permute(test_frame):
-    placed = modelling.with_donors(test_frame, ["application_id"], 3).select(
-        "application_id", F.col("donor.application_id").alias("d")).collect()
-    assert sorted(r.application_id for r in placed) == sorted(r.d for r in placed)
-
-
 def test_save_and_load(spark, card, test_frame, tmp_path):
     modelling.save_card(card, str(tmp_path))
     back = modelling.load_card(spark, str(tmp_path))
