@@ -339,16 +339,21 @@ def union_rows(frames: list[DataFrame]) -> DataFrame:
     return merged
 
 
-def fit_calibrators(oof: DataFrame) -> dict[str, object]:
-    """Isotonic and Platt calibrators on out-of-fold scores.
+def fit_isotonic(scores: DataFrame):
+    """Isotonic calibrator of ``label`` by ``raw_pd``.
 
     Equal scores are merged with their weight first: six-digit scores leave at most
-    1,000,001 points whatever the number of rows.
+    1,000,001 points whatever the number of rows. Spark pools these inside score ranges, then
+    the blocks of all ranges.
     """
-    points = oof.groupBy("raw_pd").agg(F.avg("label").alias("rate"),
-                                       F.count(F.lit(1)).cast("double").alias("weight"))
-    isotonic = IsotonicRegression(featuresCol="raw_pd", labelCol="rate",
-                                  weightCol="weight").fit(points)
+    points = scores.groupBy("raw_pd").agg(F.avg("label").alias("rate"),
+                                          F.count(F.lit(1)).cast("double").alias("weight"))
+    return IsotonicRegression(featuresCol="raw_pd", labelCol="rate", weightCol="weight").fit(points)
+
+
+def fit_calibrators(oof: DataFrame) -> dict[str, object]:
+    """Isotonic and Platt calibrators on out-of-fold scores."""
+    isotonic = fit_isotonic(oof)
     pair = (oof.groupBy("raw_pd", "label").agg(F.count(F.lit(1)).cast("double").alias("weight")))
     total = pair.agg(F.sum("weight")).first()[0]
     assembled = VectorAssembler(inputCols=["raw_pd"], outputCol="score_vector").transform(pair)

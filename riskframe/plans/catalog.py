@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from riskframe.functions import credit
 from riskframe.functions.numeric import round_to
@@ -599,14 +599,90 @@ def importance_expert(spark, sf_dir):
         modelling.IMPORTANCE_REPEATS, "y"))
 
 
+@query
+def top_drivers_expert(spark, sf_dir):
+    """The inputs of the expert card that matter most on test."""
+    return modelling.top_drivers(importance_expert(spark, sf_dir))
+
+
+@query
+def isotonic_expert(spark, sf_dir):
+    """Expert scores of the labelled training files, calibrated isotonically on themselves."""
+    rows = labelled_scores(spark, sf_dir).where("split = 'train'").select(
+        "application_id", F.col("pd").alias("raw_pd"), F.col("y").alias("label"))
+    fitted = modelling.fit_isotonic(rows)
+    return modelling.apply_calibration(rows, "isotonic", fitted).select("application_id", "raw_pd", "pd")
+
+
+def expert_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(actual, predicted): the stored decision against the one that the expert PD alone would give."""
+    return scored(spark, sf_dir).where("decision_result IS NOT NULL").select(
+        F.col("decision_result").alias("actual"),
+        F.when(F.col("pd") <= 0.05, "approved").when(F.col("pd") <= 0.12, "approved_with_conditions")
+        .otherwise("declined").alias("predicted"))
+
+
+@query
+def confusion_expert(spark, sf_dir):
+    """Stored decisions (rows) against those of the expert PD (columns)."""
+    return metrics.confusion(expert_decisions(spark, sf_dir), ["approved", "approved_with_conditions", "declined"])
+
+
+@query
+def class_report_expert(spark, sf_dir):
+    """Precision, recall, F1 and support of the decisions of the expert PD."""
+    return metrics.class_report(expert_decisions(spark, sf_dir))
+
+
+@query
+def factor_labels_expert(spark, sf_dir):
+    """Every term of the expert card with its business label and the file's own value."""
+    rows = rows_of(spark, sf_dir)
+    factors = scoring.contributions(rows, scoring.expert_factors(), "application_reference")
+    return scoring.factor_labels(factors, rows, "application_reference", refdata.columns_with_role("feature")).select(
+        "application_reference", "variable", "label")
+
+
+@query
+def batches_written(spark, sf_dir):
+    """Nested summaries written as one JSON folder per batch and read back."""
+    t = tables(spark, sf_dir)
+    rows = dataset.dataset(t)
+    folder = warehouse.scratch(spark, "batches")
+    nested = exports.summaries(rows, t, sampling.stratified_sample(rows))
+    exports.write_batches(nested, folder)
+    back = spark.read.schema(nested.drop("application_id").schema.add("batch", T.IntegerType())).json(folder)
+    return back.select(
+        "batch", "reference", F.col("borrower.contract_fr").alias("contract_fr"),
+        F.col("operation.requested_amount_eur").alias("requested_amount_eur"),
+        F.col("financials.dti_after_pct").alias("dti_after_pct"), F.col("decision.result").alias("result"),
+        F.array_join("reasons.code", "|").alias("reasons"), "_stratum")
+
+
+_DECISIONS: dict[tuple[str, str], modelling.DecisionModel] = {}
+
+
+def default_decision(spark: SparkSession, sf_dir: str) -> modelling.DecisionModel:
+    """The decision model of a folder on the scorecard's variables, fitted once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _DECISIONS:
+        _DECISIONS[key] = modelling.train_decision(rows_of(spark, sf_dir), modelling.SCORECARD_VARIABLES, trees=20,
+                                                   with_boosting=False)[0]
+    return _DECISIONS[key]
+
+
 @query
 def decision_model(spark, sf_dir):
     """Per-class report of the decision model on test."""
-    rows = rows_of(spark, sf_dir)
-    model, _ = modelling.train_decision(rows, modelling.SCORECARD_VARIABLES, trees=20,
-                                        with_boosting=False)
-    test = modelling.decision_rows(rows, "test", modelling.SCORECARD_VARIABLES)
-    return metrics.class_report(model.predict(test).select("actual", "predicted"))
+    test = modelling.decision_rows(rows_of(spark, sf_dir), "test", modelling.SCORECARD_VARIABLES)
+    return metrics.class_report(default_decision(spark, sf_dir).predict(test).select("actual", "predicted"))
+
+
+@query
+def dataset_scores(spark, sf_dir):
+    """Every stored file scored: PD, grade, predicted and actual decision, text excerpt, factors."""
+    found = scoring.score_dataset(rows_of(spark, sf_dir), default_card(spark, sf_dir), default_decision(spark, sf_dir))
+    return found.withColumns({c: F.array_join(f"{c}.variable", "|") for c in ("adverse_factors", "favourable_factors")})
 
 
 @query

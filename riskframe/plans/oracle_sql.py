@@ -358,6 +358,47 @@ FROM (SELECT variable, {rnd('auc', 4)} AS auc FROM m), (SELECT {rnd('auc', 4)} A
          "swapped": _SWAPPED,
          **{k: v.replace("FROM s ", "FROM swapped ") for k, v in measure_ctes("variable, repeat").items()}})
 ORACLES["importance_expert"] = ORACLES["importance_expert"].replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLES["top_drivers_expert"] = (
+    f"SELECT variable, importance FROM ({ORACLES['importance_expert']}) WHERE importance > 0.0002 "
+    "ORDER BY importance DESC, variable LIMIT 15")
+# the isotonic fit of a point: largest over all starts up to it of the least mean to any end from it on
+_add("isotonic_expert", f"""
+SELECT application_id, pd AS raw_pd, {rnd('fitted', 6)} AS pd
+FROM s JOIN q USING (pd) JOIN (SELECT k, max(m) AS fitted FROM low GROUP BY k) USING (k)""", "population", extra={
+    "s": "SELECT *, default_flag AS y FROM population WHERE default_flag IS NOT NULL AND split = 'train'",
+    "p": "SELECT pd, sum(y) AS hits, count(*) AS n, row_number() OVER (ORDER BY pd) AS k FROM s GROUP BY pd",
+    "q": "SELECT *, sum(hits) OVER w AS all_hits, sum(n) OVER w AS all_n FROM p WINDOW w AS (ORDER BY k)",
+    "low": """
+SELECT k, min(mean) OVER (PARTITION BY start ORDER BY k DESC) AS m
+FROM (SELECT i.k AS start, j.k, (j.all_hits - i.all_hits + i.hits)::DOUBLE / (j.all_n - i.all_n + i.n)::DOUBLE AS mean
+      FROM q i JOIN q j ON j.k >= i.k)"""})
+_EXPERT_CLASSES = ["approved", "approved_with_conditions", "declined"]
+_EXPERT_DECISIONS = {"dp": """
+SELECT decision_result AS actual, CASE WHEN pd <= 0.05 THEN 'approved' WHEN pd <= 0.12 THEN 'approved_with_conditions'
+  ELSE 'declined' END AS predicted FROM population WHERE decision_result IS NOT NULL"""}
+_add("confusion_expert", "SELECT actual, " + ", ".join(
+    f"CAST(count(*) FILTER (WHERE predicted = '{c}') AS BIGINT) AS {c}" for c in _EXPERT_CLASSES)
+    + " FROM dp GROUP BY actual", "population", extra=_EXPERT_DECISIONS)
+_add("class_report_expert", f"""
+SELECT label, {rnd('prec', 4)} AS precision, {rnd('rec', 4)} AS recall,
+  {rnd('CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0::DOUBLE END', 4)} AS f1, CAST(support AS BIGINT) AS support
+FROM (SELECT label, support, CASE WHEN called > 0 THEN hit::DOUBLE / called ELSE 0.0::DOUBLE END AS prec,
+        CASE WHEN support > 0 THEN hit::DOUBLE / support ELSE 0.0::DOUBLE END AS rec
+      FROM (SELECT label, (SELECT count(*) FROM dp WHERE actual = label) AS support,
+              (SELECT count(*) FROM dp WHERE predicted = label) AS called,
+              (SELECT count(*) FROM dp WHERE actual = label AND predicted = label) AS hit
+            FROM (SELECT actual AS label FROM dp UNION SELECT predicted FROM dp)))""", "population", extra=_EXPERT_DECISIONS)
+
+
+def _labelled_term(name: str) -> str:
+    if name not in refdata.LABEL:
+        return f"SELECT application_reference, '{name}' AS variable, '{name}' AS label FROM v_dataset"
+    shown = f"regexp_replace(replace(format('{{:,.2f}}', CAST({name} AS DOUBLE)), ',', ' '), '\\.?0+$', '')"
+    return (f"SELECT application_reference, '{name}' AS variable, {quoted(refdata.LABEL[name])} || ' (' || "
+            f"coalesce({shown}, 'None') || ')' AS label FROM v_dataset")
+
+
+_add("factor_labels_expert", " UNION ALL ".join(_labelled_term(n) for n, _ in o.expert_terms()), "v_dataset")
 _add("score_bands", f"""
 SELECT 'D' || band AS band, n, defaults, {rnd('mean_pd', 4)} AS mean_pd,
   {rnd('rate', 4)} AS observed_rate, {rnd('abs(mean_pd - rate)', 4)} AS gap
@@ -461,6 +502,14 @@ FROM (SELECT *, CAST((row_number() OVER (ORDER BY {_SHUFFLE}, application_id) -
         // {sampling.PER_BATCH} + 1 AS INTEGER) AS batch FROM sample)
 JOIN v_dataset v USING (application_id) WHERE batch <= {sampling.BATCHES}""", "v_dataset",
      extra=_SAMPLE)
+_add("batches_written", f"""
+SELECT batch, application_reference AS reference,
+  {o.choose(refdata.CONTRACT_FR, 'contract_type')} AS contract_fr,
+  requested_amount AS requested_amount_eur, dti_after_pct, decision_result AS result,
+  coalesce(v.reasons, '') AS reasons, stratum AS _stratum
+FROM (SELECT *, CAST((row_number() OVER (ORDER BY {_SHUFFLE}, application_id) - 1)
+        // {sampling.PER_BATCH} + 1 AS INTEGER) AS batch FROM sample)
+JOIN v_dataset v USING (application_id)""", "v_dataset", extra=_SAMPLE)
 _add("rationale_load", "SELECT route, CAST(count(*) AS BIGINT) AS rationales FROM routes "
      "GROUP BY route", "ord", "app", "dec", extra=_ROUTES)
 _add("rationale_routes", "SELECT reference, file_number, position, route, "
