@@ -6,7 +6,10 @@ import hashlib
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
@@ -161,6 +164,7 @@ class Card:
     calibration: str = "none"
     calibrator: object | None = None
     domain: dict = field(default_factory=dict)
+    measures: dict = field(default_factory=dict)
 
     @property
     def linear(self) -> bool:
@@ -288,19 +292,26 @@ def choose(auc: dict[str, float], anomalies: dict[str, int]
     return best_linear, best_tree
 
 
+def candidates(rounds: int = BOOSTING_ROUNDS, with_boosting: bool = True) -> dict[str, Callable[[DataFrame], Card]]:
+    """Name of each candidate and the function that fits it on training rows."""
+    everything = refdata.columns_with_role("feature")
+    plan = {"logistic_C0.1": (SCORECARD_VARIABLES, 0.1), "logistic_C0.5": (SCORECARD_VARIABLES, 0.5),
+            "logistic_full": (everything, 0.1)}
+    fits = {n: partial(logistic, columns=columns, c=c, name=n) for n, (columns, c) in plan.items()}
+    if with_boosting:
+        fits |= {f"gb_depth{d}": partial(boosted, columns=everything, depth=d, rounds=rounds) for d in (3, 6)}
+    return fits
+
+
 def select_card(rows: DataFrame, *, rounds: int = BOOSTING_ROUNDS,
                 with_boosting: bool = True) -> Selection:
     """Fits the candidates on train, compares them on val, applies the sign rule."""
     spark = rows.sparkSession
     everything = refdata.columns_with_role("feature")
-    plan = {"logistic_C0.1": (SCORECARD_VARIABLES, 0.1), "logistic_C0.5": (SCORECARD_VARIABLES, 0.5),
-            "logistic_full": (everything, 0.1)}
     train = default_rows(rows, "train", everything).persist()
     val = default_rows(rows, "val", everything).persist()
     try:
-        cards = {n: logistic(train, cols, c, n) for n, (cols, c) in plan.items()}
-        if with_boosting:
-            cards |= {f"gb_depth{d}": boosted(train, everything, d, rounds) for d in (3, 6)}
+        cards = {n: fit(train) for n, fit in candidates(rounds, with_boosting).items()}
         auc = {n: validation_auc(card, val) for n, card in cards.items()}
     finally:
         train.unpersist()
@@ -321,15 +332,17 @@ def with_folds(rows: DataFrame, folds: int = FOLDS, key: str = "application_id",
     return ordered.hashed_rank(rows, label, key, "fold").withColumn("fold", (F.col("fold") % folds).cast("int"))
 
 
-def out_of_fold(train: DataFrame, columns: list[str], c: float, folds: int = FOLDS) -> DataFrame:
-    """(application_id, label, raw_pd) where no row is scored by a card that saw it."""
+def out_of_fold(train: DataFrame, fit: Callable[[DataFrame], Card], folds: int = FOLDS) -> DataFrame:
+    """(application_id, label, raw_pd) where no row is scored by a card that saw it.
+
+    The folds are fitted side by side: a fit is many short jobs that wait for each other.
+    """
     placed = with_folds(train.persist(), folds).persist()
-    parts = []
-    for i in range(folds):
-        card = logistic(placed.where(F.col("fold") != i), columns, c, f"fold_{i}")
-        parts.append(card.transform(placed.where(F.col("fold") == i))
-                     .select("application_id", "label", "raw_pd"))
-    return union_rows(parts)
+    with ThreadPool(folds) as pool:
+        one = inheritable_thread_target(train.sparkSession)(lambda i: fit(placed.where(F.col("fold") != i)))
+        cards = pool.map(one, range(folds))
+    return union_rows([card.transform(placed.where(F.col("fold") == i)).select("application_id", "label", "raw_pd")
+                       for i, card in enumerate(cards)])
 
 
 def union_rows(frames: list[DataFrame]) -> DataFrame:
@@ -392,6 +405,18 @@ def calibrate(card: Card, oof: DataFrame, val: DataFrame) -> tuple[Card, dict[st
     return Card(card.name, card.columns, card.model, kept, options[kept], bounds), brier
 
 
+def finished(card: Card, rows: DataFrame, fit: Callable[[DataFrame], Card]) -> Card:
+    """The card that scores: calibrated out of fold with ``fit``, bounded, measured once on test."""
+    oof = out_of_fold(default_rows(rows, "train", card.columns), fit).persist()
+    try:
+        card, _ = calibrate(card, oof, default_rows(rows, "val", card.columns))
+    finally:
+        oof.unpersist()
+    scores = card.transform(default_rows(rows, "test", card.columns)).select("pd", F.col("label").alias("y"))
+    card.measures = metrics.metrics(scores).first().asDict()
+    return card
+
+
 # ---- importance ---------------------------------------------------------------------------------
 def variable_contributions(card: Card) -> Column:
     """Per input variable, its part of the logit; a category's levels are added up."""
@@ -588,7 +613,7 @@ def save_card(card: Card, folder: str) -> None:
     if card.calibrator is not None:
         card.calibrator.write().overwrite().save(f"{folder}/calibrator")
     about = {"name": card.name, "columns": card.columns, "calibration": card.calibration,
-             "domain": card.domain}
+             "domain": card.domain, "measures": card.measures}
     spark = SparkSession.getActiveSession()
     spark.createDataFrame([(json.dumps(about),)], "value STRING").coalesce(1).write.mode(
         "overwrite").text(f"{folder}/about")
@@ -603,4 +628,4 @@ def load_card(spark: SparkSession, folder: str) -> Card:
     kind = about["calibration"]
     calibrator = kinds[kind].load(f"{folder}/calibrator") if kind in kinds else None
     return Card(about["name"], about["columns"], PipelineModel.load(f"{folder}/model"), kind,
-                calibrator, about["domain"])
+                calibrator, about["domain"], about["measures"])

@@ -146,7 +146,7 @@ def document_features(documents: DataFrame, keep_totals: bool = False) -> DataFr
 
 def model_card(card: Card, metrics_row: dict | None = None) -> Column:
     """Provenance carried by every result."""
-    measures = metrics_row or {}
+    measures = metrics_row or card.measures
     return F.struct(
         F.lit(card.name).alias("name"), F.lit(card.fingerprint()).alias("fingerprint"),
         F.lit(len(card.columns)).alias("n_variables"), F.lit(card.calibration).alias("calibration"),

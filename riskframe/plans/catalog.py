@@ -514,10 +514,24 @@ def default_card(spark: SparkSession, sf_dir: str) -> modelling.Card:
         card = modelling.logistic(train, columns, 0.1)
         scores = card.transform(train).select("pd", F.col("label").alias("y"))
         card.domain = metrics.domain_bounds(scores).first().asDict()
+        on_test = card.transform(modelling.default_rows(rows, "test", columns)).select("pd", F.col("label").alias("y"))
+        card.measures = metrics.metrics(on_test).first().asDict()
         _CARDS[key] = card
     return _CARDS[key]
 
 
+def production_card(spark: SparkSession, sf_dir: str) -> modelling.Card:
+    """The logistic card of a folder, calibrated, bounded and measured once per session.
+
+    Documents carry its 35 variables, not all that the widest candidate of the selection wants.
+    """
+    key = (spark.sparkContext.applicationId, f"{sf_dir} production")
+    if key not in _CARDS:
+        _CARDS[key] = modelling.finished(default_card(spark, sf_dir), rows_of(spark, sf_dir),
+                                           modelling.candidates()["logistic_C0.1"])
+    return _CARDS[key]
+
+
 def test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modelling.default_rows(rows_of(spark, sf_dir), "test",
                                   modelling.SCORECARD_VARIABLES)
@@ -569,7 +583,7 @@ def oof_calibration(spark, sf_dir):
     columns = modelling.SCORECARD_VARIABLES
     rows = rows_of(spark, sf_dir)
     train = modelling.default_rows(rows, "train", columns)
-    oof = modelling.out_of_fold(train, columns, 0.1).persist()
+    oof = modelling.out_of_fold(train, modelling.candidates()["logistic_C0.1"]).persist()
     card, _ = modelling.calibrate(default_card(spark, sf_dir), oof,
                                   modelling.default_rows(rows, "val", columns))
     return modelling.apply_calibration(oof, card.calibration, card.calibrator).select(
@@ -681,7 +695,7 @@ def decision_model(spark, sf_dir):
 @query
 def dataset_scores(spark, sf_dir):
     """Every stored file scored: PD, grade, predicted and actual decision, text excerpt, factors."""
-    found = scoring.score_dataset(rows_of(spark, sf_dir), default_card(spark, sf_dir), default_decision(spark, sf_dir))
+    found = scoring.score_dataset(rows_of(spark, sf_dir), production_card(spark, sf_dir), default_decision(spark, sf_dir))
     return found.withColumns({c: F.array_join(f"{c}.variable", "|") for c in ("adverse_factors", "favourable_factors")})
 
 
@@ -698,13 +712,21 @@ def batch_score(spark, sf_dir):
     return flat_scores(scored)
 
 
+@query
+def production_scores(spark, sf_dir):
+    """Every document scored with the calibrated card."""
+    texts = documents.to_text(documents.assemble(tables(spark, sf_dir)))
+    return flat_scores(scoring.score_documents(documents.parse(texts), production_card(spark, sf_dir)))
+
+
 def flat_scores(scored: DataFrame) -> DataFrame:
     return scored.select(
         "evaluation_id", "reference", "probability_of_default", "risk_grade", "out_of_domain",
         F.col("indicators.dti_after_pct").alias("dti_after_pct"),
         F.array_join("adverse_factors.variable", "|").alias("adverse_factors"),
         F.array_join("favourable_factors.variable", "|").alias("favourable_factors"),
-        F.col("model.fingerprint").alias("fingerprint"),
+        F.col("model.fingerprint").alias("fingerprint"), F.col("model.calibration").alias("calibration"),
+        F.col("model.test_auc").alias("test_auc"), F.col("model.test_gini").alias("test_gini"),
         F.array_join("warnings", " / ").alias("warnings"))
 
 
