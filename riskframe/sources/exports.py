@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from riskframe.functions import credit
 from riskframe.operators import quality, sampling
 from riskframe.sources import refdata
-from riskframe.sources.tables import Tables
+from riskframe.sources.tables import Tables, keyed_join
 
 KEY = "application_reference"
 PREFIX = {"feature": "X", "target": "y", "protected": "protected"}
@@ -77,7 +77,7 @@ def training_rows(spark: SparkSession, folder: str, split: str, target: str) ->
     """X joined to one target on the reference; rows without a target are dropped."""
     x = read_matrix(spark, folder, "feature", split).drop("split")
     y = read_matrix(spark, folder, "target", split).select(KEY, target)
-    return x.join(y, KEY).where(F.col(target).isNotNull())
+    return keyed_join(x, y, KEY).where(F.col(target).isNotNull())
 
 
 def summaries(rows: DataFrame, t: Tables, sample: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from paths import TINY
 from riskframe.operators import dataset, indicators, pivots, quality
 from riskframe.plans import oracle_tables, warehouse
 from riskframe.plans.catalog import QUERIES
@@ -95,3 +96,12 @@ def test_tables_are_loaded_once_per_session(spark):
 
 def test_oracle_tables_are_independent_of_spark():
     assert all(isinstance(sql, str) for _, sql in oracle_tables.CTES.values())
+
+
+@pytest.mark.parametrize("name", ["class_balance", "expert_pd", "lookup", "training_matrix", "check_incomplete"])
+def test_tables_that_grow_are_never_broadcast(spark, tiny, name):
+    """Pruned to a few narrow columns they look small, and fill the driver when there are many rows."""
+    plan = plan_of(QUERIES[name](spark, TINY))
+    keys = re.findall(r"BroadcastHashJoin \[(\w+)#", plan)
+    assert not {"application_id", "customer_id", "application_reference", "id", "c"} & set(keys)
+    assert "SortMergeJoin" in plan
