@@ -203,3 +203,19 @@ def test_sizing_ways_agree(spark, rows, tiny):
     slow = scoring.max_amount_any(frame, small, 0.08).select(*names).collect()
     assert sorted(map(str, fast)) == sorted(map(str, slow))
     assert any(r.maximum_amount is not None and r.comment.startswith("cutting") for r in fast)
+
+
+def test_a_fit_leaves_the_rows_kept_that_its_caller_keeps(rows):
+    columns = ["dti_after_pct", "ficp_flagged"]
+    train = modelling.default_rows(rows, "train", columns).persist()
+    modelling.logistic(train, columns, 0.1)
+    assert train.storageLevel.useDisk
+    train.unpersist()
+    modelling.logistic(train, columns, 0.1)
+    assert not train.storageLevel.useDisk
+
+
+def test_a_fit_runs_in_few_tasks(spark):
+    many = spark.range(1000).repartition(200)
+    assert modelling.gathered(many, 1000).rdd.getNumPartitions() == modelling.FIT_TASKS
+    assert modelling.gathered(many, 10**8).rdd.getNumPartitions() == 200
