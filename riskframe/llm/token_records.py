@@ -32,6 +32,8 @@ MAGIC = b"RFTOKENS"
 END = 2
 #: A partition starts a new file beyond this size.
 FILE_BYTES = 32 << 20
+#: Bytes of a file that wait to be written.
+BUFFER = 1 << 20
 #: Distinct pieces a worker remembers before it starts afresh; a bound of memory only.
 REMEMBERED = 1_200_000
 #: Bytes of text encoded at a time, and pieces given to the library at a time.
@@ -213,22 +215,24 @@ def _writer(folder: str, path: str):
         part, nth = TaskContext.get().partitionId(), 0
         head = MAGIC + bytes([encoder.width])
         kind = "<u2" if encoder.width == 2 else "<u4"
-        held, index, size, tokens = [head], [], len(head), 0
+        index, size, tokens, out, trial = [], len(head), 0, None, ""
 
-        def put(name: str, body: bytes) -> None:
+        def begin(name: str):
             # a repeated attempt writes the same bytes under the same name
-            trial = f"{root}/.{name}-{uuid.uuid4().hex}"
-            with files.open_output_stream(trial) as out:
-                out.write(body)
-            files.move(trial, f"{root}/{name}")
+            path = f"{root}/.{name}-{uuid.uuid4().hex}"
+            return files.open_output_stream(path, buffer_size=BUFFER), path
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, index, size, tokens, nth
+            nonlocal index, size, tokens, nth, out, trial
             name = f"part-{part:06d}-{nth:06d}"
-            put(f"{name}.rec", b"".join(held))
-            put(f"{name}.idx", np.array(index, dtype="<u8").tobytes())
+            out.close()
+            files.move(trial, f"{root}/{name}.rec")
+            out, trial = begin(f"{name}.idx")
+            out.write(np.array(index, dtype="<u8").tobytes())
+            out.close()
+            files.move(trial, f"{root}/{name}.idx")
             row = {"file": f"{name}.rec", "part": part, "nth": nth, "docs": len(index), "tokens": tokens, "bytes": size}
-            held, index, size, tokens, nth = [head], [], len(head), 0, nth + 1
+            index, size, tokens, nth, out = [], len(head), 0, nth + 1, None
             return pa.RecordBatch.from_pylist([row], schema=pa.schema(
                 [("file", pa.string()), ("part", pa.int32()), ("nth", pa.int32()), ("docs", pa.int64()),
                  ("tokens", pa.int64()), ("bytes", pa.int64())]))
@@ -244,8 +248,11 @@ def _writer(folder: str, path: str):
                     own = ids[ends[i] - counts[i]:ends[i]]
                     body = struct.pack("<qB", doc or 0, doc is None) + own.tobytes() + np.array([END], kind).tobytes()
                     framed = frame(body)
+                    if out is None:
+                        out, trial = begin(f"part-{part:06d}-{nth:06d}.rec")
+                        out.write(head)
                     index.append((size, int(counts[i]) + 1))
-                    held.append(framed)
+                    out.write(framed)               # records leave memory as they are made
                     size += len(framed)
                     tokens += int(counts[i]) + 1
                     if size >= FILE_BYTES:

@@ -292,3 +292,44 @@ def test_broken_records_are_noticed():
     for i in (10, 20, 25, 31):
         with pytest.raises((ValueError, Exception)):
             list(K.records(memoryview(body[:i] + bytes([body[i] ^ 1]) + body[i + 1:])))
+
+
+def test_token_records_leave_the_worker_one_by_one(monkeypatch):
+    """A worker holds a record and a small buffer, never a whole file."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import pyspark
+    from pyarrow import fs
+    writes, closed = {}, {}
+
+    class Out:
+        def __init__(self, path):
+            self.path = path
+            writes[path] = []
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.close()
+
+        def write(self, body):
+            writes[self.path].append(bytes(body))
+
+        def close(self):
+            closed[self.path] = b"".join(writes[self.path])
+
+    store = SimpleNamespace(open_output_stream=lambda path, **_: Out(path),
+                            move=lambda a, b: closed.__setitem__(b, closed.pop(a)))
+    monkeypatch.setattr(fs, "FileSystem", SimpleNamespace(from_uri=lambda uri: (store, uri)))
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda _: SimpleNamespace(partitionId=lambda: 0)))
+    texts = [f"word{i} and some more words" for i in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    (row,) = [r for b in K._writer("there", K.vocabulary_path())(iter([batch])) for r in b.to_pylist()]
+    content = closed["there/part-000000-000000.rec"]
+    assert row["docs"] == 500 and row["bytes"] == len(content)
+    assert [d for d, _ in K.records(memoryview(content))] == list(range(500))
+    assert len(closed["there/part-000000-000000.idx"]) == 500 * 16
+    records = next(w for p, w in writes.items() if ".rec" in p)
+    assert max(map(len, records)) < len(content) / 100
