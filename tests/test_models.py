@@ -219,3 +219,24 @@ def test_a_fit_runs_in_few_tasks(spark):
     many = spark.range(1000).repartition(200)
     assert modelling.gathered(many, 1000).rdd.getNumPartitions() == modelling.FIT_TASKS
     assert modelling.gathered(many, 10**8).rdd.getNumPartitions() == 200
+
+
+def test_candidates_are_fitted_side_by_side(spark, monkeypatch):
+    """Each fit waits for the others to have begun; one after another would never get there."""
+    from threading import Barrier
+    from types import SimpleNamespace
+    together = Barrier(3, timeout=30)
+
+    def fit(name, rows):
+        together.wait()
+        return SimpleNamespace(name=name, linear=False, rows=rows.count())
+
+    own = spark.range(20).select("id", (F.col("id") % 2).cast("double").alias("label"))
+    names = ["logistic_a", "logistic_b", "logistic_c"]
+    monkeypatch.setattr(modelling, "default_rows", lambda *_: own)
+    monkeypatch.setattr(modelling, "candidates", lambda *_: {n: (lambda rows, n=n: fit(n, rows)) for n in names})
+    monkeypatch.setattr(modelling, "validation_auc", lambda card, _: 0.5 + names.index(card.name) / 10)
+    found = modelling.select_card(own)
+    assert [found.cards[n].name for n in names] == list(found.cards) == names
+    assert {c.rows for c in found.cards.values()} == {20}
+    assert found.production == "logistic_c" and found.challenger is None
