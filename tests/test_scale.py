@@ -105,3 +105,29 @@ def test_tables_that_grow_are_never_broadcast(spark, tiny, name):
     keys = re.findall(r"BroadcastHashJoin \[(\w+)#", plan)
     assert not {"application_id", "customer_id", "application_reference", "id", "c"} & set(keys)
     assert "SortMergeJoin" in plan
+
+
+def test_documents_need_no_decisions(spark, monkeypatch):
+    """Indicators, decisions and outcomes are built when a query first asks for them, once."""
+    built = []
+    decide = warehouse.decided_rows
+    monkeypatch.setattr(warehouse, "decided_rows", lambda t: built.append(1) or decide(t))
+    t = warehouse.load(spark, TINY)
+    assert documents.assemble(t).count() > 1000 and not built
+    assert t["outcome"].count() > 0 and t["decision"].count() > 1000
+    assert t.replace(income=t["income"])["decision_reason"].count() > 0 and len(built) == 1
+    assert {"application", "indicators", "decision", "counterfactual_outcome"} <= set(t)
+
+
+def test_buckets_grow_with_the_applications(spark, monkeypatch):
+    """A task merges a bounded number of applications, however many there are."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(warehouse, "TASK_APPLICATIONS", 100)
+    try:
+        t = warehouse.load(spark, TINY)
+        n = int(spark.conf.get(key))
+        assert n == -(-1500 // 100) and f"out of {n}" in plan_of(dataset.dataset(t))
+        assert len(re.findall(r" Exchange hashpartitioning", plan_of(dataset.situation(t)))) == 6
+    finally:
+        spark.conf.set(key, before)
