@@ -33,18 +33,23 @@ def export(rows: DataFrame, folder: str, roles: dict[str, str] | None = None) ->
 
     Files follow one another in application order inside a split: rows are placed
     by range on (split, application), so no split has to fit in one task. NULL
-    becomes an empty field.
+    becomes an empty field. The rows are worked out once and kept for the three roles,
+    each of which reads them twice, for its ranges and for its files.
     """
     roles = roles or refdata.ROLE
     quality.require_consistent(rows.columns, roles)
-    for role, prefix in PREFIX.items():
-        names = role_columns(rows.columns, roles, role)
-        (rows.select("split", "application_id", KEY, *names)
-         .repartitionByRange("split", "application_id")
-         .sortWithinPartitions("split", "application_id").drop("application_id")
-         .write.mode("overwrite").partitionBy("split")
-         .option("header", True).option("emptyValue", "").option("nullValue", "")
-         .csv(f"{folder}/{prefix}"))
+    names = {role: role_columns(rows.columns, roles, role) for role in PREFIX}
+    kept = rows.select(*dict.fromkeys(["split", "application_id", KEY, *sum(names.values(), [])])).persist()
+    try:
+        for role, prefix in PREFIX.items():
+            (kept.select(*dict.fromkeys(["split", "application_id", KEY, *names[role]]))
+             .repartitionByRange("split", "application_id")
+             .sortWithinPartitions("split", "application_id").drop("application_id")
+             .write.mode("overwrite").partitionBy("split")
+             .option("header", True).option("emptyValue", "").option("nullValue", "")
+             .csv(f"{folder}/{prefix}"))
+    finally:
+        kept.unpersist()
     return export_summary(rows, roles)
 
 

@@ -119,3 +119,19 @@ def test_result_sinks(spark, tmp_path):
 @pytest.mark.parametrize("name", ["loan_type", "reason", "income_type"])
 def test_code_tables(tiny, name):
     assert tiny[name].select("code").distinct().count() == tiny[name].count()
+
+
+def test_export_works_rows_out_once(spark, tiny, tmp_path):
+    """Three roles, each ranged and written, from rows that are computed a single time."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(amount):
+        seen.add(1)
+        return amount
+
+    rows = dataset.dataset(tiny).persist()
+    n = rows.count()
+    marked = rows.withColumn("requested_amount", F.udf(passed, "double")("requested_amount"))
+    exports.export(marked, str(tmp_path))
+    rows.unpersist()
+    assert seen.value == n
