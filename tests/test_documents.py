@@ -141,3 +141,16 @@ def test_top_factors(spark):
                                 scoring.top_factors(factors, False).alias("down")).first()
     assert [f.variable for f in row.up] == ["d", "a", "g", "f", "e"]
     assert [(f.variable, f.contribution) for f in row.down] == [("c", -0.3)]
+
+
+def test_rejects_come_from_one_pass(spark):
+    """Broken and unmeasurable documents, with reasons, and one parse of the texts."""
+    texts = [document("good"), document("no pay", incomes=[{"type": "SALARY", "monthly_amount": 10.0, "weighting": 0.0}]),
+             document("broken", incomes=[]), document("huge", expenses=[{"type": "RENT", "monthly_amount": -1e300}])]
+    rows = spark.createDataFrame([(t if isinstance(t, str) else json.dumps(t),) for t in texts] + [("no json",)], "value string")
+    found = scoring.rejected_documents(documents.parse(rows))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    got = {r.reference: r.errors for r in found.collect()}
+    assert set(got) == {"no pay", "broken", "huge", None}
+    assert got["no pay"] == [indicators.NOT_ASSESSABLE] and got["broken"] == ["incomes must not be empty"]
+    assert got["huge"] == ["expenses item not allowed"] and len(got[None]) > 10
