@@ -37,7 +37,7 @@ BUFFER = 1 << 20
 #: Distinct pieces a worker remembers before it starts afresh; a bound of memory only.
 REMEMBERED = 1_200_000
 #: Bytes of text encoded at a time, and pieces given to the library at a time.
-PART, SENT = 2 << 20, 20_000
+PART, SENT = 1 << 20, 4_000
 
 _U = np.uint64
 

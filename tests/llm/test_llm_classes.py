@@ -333,3 +333,20 @@ def test_token_records_leave_the_worker_one_by_one(monkeypatch):
     assert len(closed["there/part-000000-000000.idx"]) == 500 * 16
     records = next(w for p, w in writes.items() if ".rec" in p)
     assert max(map(len, records)) < len(content) / 100
+
+
+def test_token_encoder_asks_for_few_pieces_at_a_time(monkeypatch):
+    """The library's answer holds far more than the ids: a worker asks for at most 4,000 new pieces at once."""
+    encoder, sent = K.Encoder(K.vocabulary_path()), []
+    library = encoder.tokenizer
+
+    class Spy:
+        def encode(self, part, **options):
+            sent.append(len(part))
+            return library.encode(part, **options)
+
+    encoder.tokenizer = Spy()
+    data = " ".join(f"w{i}" for i in range(9_000)).encode()
+    ids, counts = encoder.encode(np.frombuffer(data, np.uint8), np.array([0, len(data)], np.int64))
+    assert ids.tolist() == library.encode(data.decode(), add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+    assert sum(sent) == 9_000 and max(sent) <= 4_000 and K.PART <= 1 << 20
