@@ -35,6 +35,8 @@ KINDS = len(WORDS) + len(CHARS)
 STEPS, RATE, DECAY = 100, 0.5, 1e-6
 MIN_WORDS, MAX_REPEAT = 10, 20
 SYMBOLS = b"#*$%&|<>"
+#: Bytes of text that a worker counts and scores at a time; it holds about 120 bytes for each.
+PART = 1 << 19
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))
 _LEAD = (np.arange(256) & 0xC0) != 0x80     # every byte that begins a code point
@@ -68,7 +70,7 @@ def margins(model: Model, parts) -> np.ndarray:
 def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labelled texts as hashed counts: what the driver gets of a training row."""
     for batch in batches:
-        for row, n, data, offsets in T.chunks(batch.column("text"), 1 << 20):
+        for row, n, data, offsets in T.chunks(batch.column("text"), PART):
             starts, ends, first = T.words(data, offsets, T.SOLID)
             keys: list = [[] for _ in range(n)]
             values: list = [[] for _ in range(n)]
@@ -200,7 +202,7 @@ def _scorer(shared, keep: float):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model | None = shared.value
         for batch in batches:
-            for row, n, data, offsets in T.chunks(batch.column("text")):
+            for row, n, data, offsets in T.chunks(batch.column("text"), PART):
                 starts, ends, first = T.words(data, offsets, T.SOLID)
                 codes = T.word_codes(data, starts, ends)
                 n_words = np.diff(first)

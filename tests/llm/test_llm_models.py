@@ -1,7 +1,11 @@
 """Trained operators: base counts by brute force, accuracy on held-out rows; the pipeline."""
 
 import random
+import tracemalloc
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from corpus import documents, frame, ordered, pairs, prose
 
@@ -27,6 +31,27 @@ def test_quality_counts_by_brute_force(spark, rows):
     assert Q.scored(frame(spark, []), none).count() == 0
 
 
+def test_quality_of_a_large_batch_takes_little_memory():
+    """A worker holds a multiple of a small part of the texts, whatever the size of the batch."""
+    chance = random.Random(5)
+    texts = [" ".join(f"w{chance.randrange(3000)}" for _ in range(chance.randrange(1, 700))) for _ in range(3000)]
+    ids = pa.array(range(len(texts)), pa.int64())
+    weights = np.random.default_rng(5).normal(size=(Q.KINDS, Q.BUCKETS)).astype(np.float32)
+    score = Q._scorer(SimpleNamespace(value=Q.Model(weights, 0.1, 1.0, 0.0)), Q.KEEP)
+
+    def scored(at, step):
+        part = pa.RecordBatch.from_arrays([x.slice(at, step) for x in (ids, ids, pa.array(texts))], ["doc_id", "uid", "text"])
+        return pa.Table.from_batches(score(iter([part]))).to_pylist()
+
+    tracemalloc.start()
+    whole = scored(0, len(texts))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 4e6 and peak < 100e6
+    few = scored(0, 50) + scored(50, 50)
+    assert [{**r, "quality": round(r["quality"], 9)} for r in whole[:100]] == [{**r, "quality": round(r["quality"], 9)} for r in few]
+
+
 def test_quality_on_labelled_rows(spark):
     docs, labels = read(spark, "documents"), read(spark, "labels")
     scored = Q.scored(docs, labels).join(labels, "doc_id").collect()
