@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -145,3 +146,42 @@ def test_card_of_trees(spark, tmp_path):
     ours = {r.application_id: r.pd for r in card.transform(odd).select("application_id", "pd").collect()}
     theirs = {r.application_id: r.pd for r in back.transform(odd).select("application_id", "pd").collect()}
     assert ours == theirs and len(ours) == 400 and ours[80] > ours[15]
+
+
+@pytest.mark.parametrize("classes,max_depth", [(2, 6), (3, None)])
+def test_one_task_and_several_grow_the_same_trees(spark, monkeypatch, classes, max_depth):
+    """Rows that one task holds are fitted in it; with many rows each pass is a job, added up by tasks."""
+    _, _, df = points(spark, 900, classes)
+    one = boosting.fit(df, classes, 4, 0.3, max_depth, 9, early_stopping=True)
+    monkeypatch.setattr(boosting, "ONE_TASK_ROWS", 0)
+    monkeypatch.setattr(boosting, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(boosting, "REFRESH", 2)
+    monkeypatch.setattr(boosting, "SUMS_AT_ONCE", 3)
+    many = boosting.fit(df.repartition(12), classes, 4, 0.3, max_depth, 9, early_stopping=True)
+    assert one.toDebugString == many.toDebugString and len(one.rounds) == 4
+
+
+def test_boosted_fit_asks_for_all_rounds(monkeypatch):
+    from riskframe.plans import catalog
+    asked = []
+
+    def fit(vectors, classes, rounds, step, depth, **_):
+        asked.append((rounds, step, depth))
+        raise InterruptedError
+
+    class Any:
+        storageLevel = StorageLevel.DISK_ONLY
+
+        def __getattr__(self, _):
+            return lambda *a, **k: self
+
+        def __add__(self, _):
+            return self
+
+    monkeypatch.setattr(catalog, "rows_of", lambda *_: Any())
+    monkeypatch.setattr(modelling, "default_rows", lambda *_: Any())
+    monkeypatch.setattr(modelling, "preprocessor", lambda *_: Any())
+    monkeypatch.setattr(modelling.boosting, "fit", fit)
+    with pytest.raises(InterruptedError):
+        catalog.boosted_fit(None, "")
+    assert asked == [(400, 0.06, 3)]
