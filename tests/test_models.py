@@ -240,3 +240,16 @@ def test_candidates_are_fitted_side_by_side(spark, monkeypatch):
     assert [found.cards[n].name for n in names] == list(found.cards) == names
     assert {c.rows for c in found.cards.values()} == {20}
     assert found.production == "logistic_c" and found.challenger is None
+
+
+def test_model_selection_compares_the_boosted_candidates(monkeypatch):
+    from riskframe.plans import catalog
+
+    def select(rows, *, rounds=modelling.BOOSTING_ROUNDS, with_boosting=True):
+        raise InterruptedError(sorted(modelling.candidates(rounds, with_boosting)), rounds)
+
+    monkeypatch.setattr(catalog, "rows_of", lambda *_: None)
+    monkeypatch.setattr(modelling, "select_card", select)
+    with pytest.raises(InterruptedError) as asked:
+        catalog.model_selection(None, "")
+    assert asked.value.args == (["gb_depth3", "gb_depth6", "logistic_C0.1", "logistic_C0.5", "logistic_full"], 400)
