@@ -253,3 +253,28 @@ def test_model_selection_compares_the_boosted_candidates(monkeypatch):
     with pytest.raises(InterruptedError) as asked:
         catalog.model_selection(None, "")
     assert asked.value.args == (["gb_depth3", "gb_depth6", "logistic_C0.1", "logistic_C0.5", "logistic_full"], 400)
+
+
+def test_decision_model_has_the_boosted_candidates(rows, monkeypatch):
+    """Both boosted candidates and the logistic one, of all classes; the query asks for all features and rounds."""
+    asked = []
+    fit = modelling.boosting.fit
+    monkeypatch.setattr(modelling.boosting, "fit", lambda vectors, classes, rounds, step, max_depth: asked.append(
+        (classes, rounds, step, max_depth)) or fit(vectors, classes, 2, step, max_depth))
+    model, scores = modelling.train_decision(rows, ["dti_after_pct", "ficp_flagged", "loan_type"])
+    assert set(scores) == {"gb_depth6", "gb_default", "logistic"} and min(scores.values()) > 0.3
+    k = len(model.labels)
+    assert k == 4 and sorted(asked, key=str) == [(k, 300, 0.1, None), (k, 400, 0.06, 6)]
+    assert {r.predicted for r in model.predict(rows.limit(300)).select("predicted").collect()} <= set(model.labels)
+
+    from riskframe.plans import catalog
+
+    def train(rows, columns=None, *, trees=100, rounds=None, with_boosting=True):
+        raise LookupError(columns, rounds, with_boosting)
+
+    monkeypatch.setattr(catalog, "rows_of", lambda *_: None)
+    monkeypatch.setattr(modelling, "train_decision", train)
+    spark = rows.sparkSession
+    with pytest.raises(LookupError) as query:
+        catalog.default_decision(spark, "nowhere")
+    assert query.value.args == (None, None, True)
