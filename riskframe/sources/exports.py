@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.functions import credit
 from riskframe.operators import quality, sampling
+from riskframe.session import dropping_shuffles
 from riskframe.sources import refdata
 from riskframe.sources.tables import Tables, keyed_join
 
@@ -33,21 +35,24 @@ def export(rows: DataFrame, folder: str, roles: dict[str, str] | None = None) ->
 
     Files follow one another in application order inside a split: rows are placed
     by range on (split, application), so no split has to fit in one task. NULL
-    becomes an empty field. The rows are worked out once and kept for the three roles,
-    each of which reads them twice, for its ranges and for its files.
+    becomes an empty field. The rows are worked out once and kept on disk for the three roles,
+    each of which reads them twice, for its ranges and for its files; kept in memory, they
+    would take it from the joins that work them out and from the sorts.
     """
     roles = roles or refdata.ROLE
     quality.require_consistent(rows.columns, roles)
     names = {role: role_columns(rows.columns, roles, role) for role in PREFIX}
-    kept = rows.select(*dict.fromkeys(["split", "application_id", KEY, *sum(names.values(), [])])).persist()
+    kept = rows.select(*dict.fromkeys(["split", "application_id", KEY, *sum(names.values(), [])])).persist(
+        StorageLevel.DISK_ONLY)
     try:
-        for role, prefix in PREFIX.items():
-            (kept.select(*dict.fromkeys(["split", "application_id", KEY, *names[role]]))
-             .repartitionByRange("split", "application_id")
-             .sortWithinPartitions("split", "application_id").drop("application_id")
-             .write.mode("overwrite").partitionBy("split")
-             .option("header", True).option("emptyValue", "").option("nullValue", "")
-             .csv(f"{folder}/{prefix}"))
+        with dropping_shuffles(rows.sparkSession):
+            for role, prefix in PREFIX.items():
+                (kept.select(*dict.fromkeys(["split", "application_id", KEY, *names[role]]))
+                 .repartitionByRange("split", "application_id")
+                 .sortWithinPartitions("split", "application_id").drop("application_id")
+                 .write.mode("overwrite").partitionBy("split")
+                 .option("header", True).option("emptyValue", "").option("nullValue", "")
+                 .csv(f"{folder}/{prefix}"))
     finally:
         kept.unpersist()
     return export_summary(rows, roles)

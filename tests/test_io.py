@@ -2,13 +2,14 @@
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from riskframe.operators import dataset, sampling
-from riskframe.session import shared_folder
-from riskframe.sources import exports, tables as storage
+from riskframe.session import dropping_shuffles, shared_folder
+from riskframe.sources import documents, exports, tables as storage
 
 
 def test_export_round_trip(spark, tiny, tmp_path):
@@ -135,3 +136,60 @@ def test_export_works_rows_out_once(spark, tiny, tmp_path):
     exports.export(marked, str(tmp_path))
     rows.unpersist()
     assert seen.value == n
+
+
+def test_export_keeps_its_rows_on_disk(spark, tiny, tmp_path, monkeypatch):
+    """Rows kept in memory would fill the executors while they are joined and sorted."""
+    rows, levels = dataset.dataset(tiny), []
+    persist = type(rows).persist
+    monkeypatch.setattr(type(rows), "persist", lambda self, level=None: levels.append(level) or persist(self, level))
+    exports.export(rows, str(tmp_path))
+    assert levels and not any(level.useMemory for level in levels)
+
+
+def shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = disk.getAllFiles()
+    return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+
+def test_stored_rows_leave_no_shuffle_files(spark, tmp_path):
+    before = shuffle_files(spark)
+
+    def store(name):
+        spark.range(1000).repartition(3, "id").write.parquet(str(tmp_path / name))
+
+    with dropping_shuffles(spark):
+        store("a")
+    until = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before and spark.read.parquet(str(tmp_path / "a")).count() == 1000
+    store("b")
+    assert shuffle_files(spark) - before
+
+
+def test_streamed_documents_lie_compressed(spark, tiny, monkeypatch):
+    from types import SimpleNamespace
+
+    from paths import TINY
+    from riskframe.plans import catalog
+    given = []
+    monkeypatch.setattr(catalog, "default_card", lambda *_: None)
+    monkeypatch.setattr(catalog.streams, "score_stream", lambda _, folder, *more: given.append(folder) or SimpleNamespace(
+        awaitTermination=lambda: None))
+    catalog._streamed(spark, TINY)
+    names = [n for n in os.listdir(given[0]) if n.startswith("part-")]
+    assert names and all(n.endswith(".json.gz") for n in names)
+    assert documents.read(spark, given[0]).count() == documents.assemble(tiny).count() > 1000
+
+
+def test_model_rows_are_worked_out_once(spark, tiny, monkeypatch):
+    """Every split and candidate reads stored rows: equal rows, and the tables are joined once."""
+    from riskframe.plans import catalog
+    asked = []
+    monkeypatch.setattr(catalog, "rows_of", lambda *_: asked.append(1) or dataset.dataset(tiny))
+    stored = [catalog.model_rows(spark, "model rows test") for _ in range(3)][-1]
+    fresh = dataset.dataset(tiny).select(*stored.columns)
+    assert len(asked) == 1 and stored.schema.simpleString() == fresh.schema.simpleString()
+    assert stored.count() == fresh.count() and stored.exceptAll(fresh).count() == 0
