@@ -178,7 +178,7 @@ def test_boosted_fit_asks_for_all_rounds(monkeypatch):
         def __add__(self, _):
             return self
 
-    monkeypatch.setattr(catalog, "rows_of", lambda *_: Any())
+    monkeypatch.setattr(catalog, "model_rows", lambda *_: Any())
     monkeypatch.setattr(modelling, "default_rows", lambda *_: Any())
     monkeypatch.setattr(modelling, "preprocessor", lambda *_: Any())
     monkeypatch.setattr(modelling.boosting, "fit", fit)

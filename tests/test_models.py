@@ -248,7 +248,7 @@ def test_model_selection_compares_the_boosted_candidates(monkeypatch):
     def select(rows, *, rounds=modelling.BOOSTING_ROUNDS, with_boosting=True):
         raise InterruptedError(sorted(modelling.candidates(rounds, with_boosting)), rounds)
 
-    monkeypatch.setattr(catalog, "rows_of", lambda *_: None)
+    monkeypatch.setattr(catalog, "model_rows", lambda *_: None)
     monkeypatch.setattr(modelling, "select_card", select)
     with pytest.raises(InterruptedError) as asked:
         catalog.model_selection(None, "")
@@ -272,7 +272,7 @@ def test_decision_model_has_the_boosted_candidates(rows, monkeypatch):
     def train(rows, columns=None, *, trees=100, rounds=None, with_boosting=True):
         raise LookupError(columns, rounds, with_boosting)
 
-    monkeypatch.setattr(catalog, "rows_of", lambda *_: None)
+    monkeypatch.setattr(catalog, "model_rows", lambda *_: None)
     monkeypatch.setattr(modelling, "train_decision", train)
     spark = rows.sparkSession
     with pytest.raises(LookupError) as query:
